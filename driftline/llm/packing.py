@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ GRAIN, DEPTH = 64, 4
 #: Tokens that a task packs at a time; its memory is in proportion.
 BUFFER_TOKENS = 4_000_000
 #: Most words whose ids a worker keeps, and the longest such word; the store is emptied when full.
-CACHED, CACHED_CHARS = 400_000, 64
+CACHED, CACHED_CHARS = 800_000, 64
 SCHEMA = "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -67,6 +68,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
+#: The pre-tokens of the word-level vocabulary, whose normal form of Latin-1 text is its lower case.
+LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^ \t-\r\x85\xa00-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
 _COMBOS = combinations(WINDOW // GRAIN, DEPTH)
 
 
@@ -129,43 +132,58 @@ def lay(pieces: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int
 
 
 class WordIds:
-    """Token ids by a tokenizers file whose normalizer and splits never join text across a space or a line end."""
+    """Token ids by the word-level vocabulary's file, whose normalizer and splits never join text across a space or a
+    line end, so pieces of texts are looked up and only new ones go to the library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: A special token splits text before anything else is done, so one stands between words encoded together.
-        self.mark = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def encode(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if self.mark and self.mark not in w]
-        out = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words if not self.mark or self.mark in w}
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.tokenizer.token_to_id(self.mark)).tolist(), len(ids)]
-            start = 0
-            for w, end in zip(some, ends, strict=True):
-                out[w] = ids[start:end].tobytes()
-                start = end + 1
+    def ask(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words from the library. Single pre-tokens go in together, since each one's last id ends a word."""
+        out: dict[str, bytes] = {}
+        single = [w for w in words if LATIN.fullmatch(w) and w.islower()]
+        for at in range(0, len(single), 1000):
+            some = single[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                out[w] = raw[start:end]
+                start = end
+        rest = [w for w in words if w not in out]
+        for at in range(0, len(rest), 1000):
+            found = self.tokenizer.encode_batch_fast(rest[at : at + 1000], add_special_tokens=False)
+            out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest[at : at + 1000], found, strict=True))
         return out
 
+    def pieces(self, text: str) -> list[str]:
+        """Strings that the library would treat alone as it does in the text: pre-tokens, or words where a text has
+        characters for which only the library knows the normal form."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        return LATIN.findall(text.lower()) if "<|" not in text else text.replace("\n", " ").split(" ")
+
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit little-endian integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
+        cut = list(map(self.pieces, texts))
+        every = set().union(*cut)
+        new = every.difference(self.known)
         if len(self.known) + len(new) > CACHED:
-            self.known = {}
-            new = list({w for ws in words for w in ws})
-        fresh = self.encode(new)
-        self.known.update(fresh)
-        out = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                del self.known[w]
+            self.known, new = {}, every
+        self.known.update(self.ask(list(new)))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, c)) for c in cut]
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del self.known[p]
         return out
 
 
