@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Most chunks whose counts a worker keeps; the store is emptied when full.
-CACHED, CACHED_CHARS = 400_000, 64
+CACHED, CACHED_CHARS = 800_000, 64
 #: Most new pre-tokens that are merged at a time.
 MERGED_BYTES = 4_000_000
 NONE = np.int64(2**40)
@@ -107,23 +107,18 @@ class Merger:
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; strings of special tokens count as one token each."""
         cut = [chunks_of(t, self.cut) for t in texts]
-        new = list({c for chunks, _ in cut for c in chunks if c not in self.known})
-        fresh = self.learn(new)
-        known = self.known
-        if len(known) + len(fresh) > CACHED:
-            known = self.known = {}
-        known.update((c, n) for c, n in fresh.items() if len(c) <= CACHED_CHARS)
-        out = []
-        for chunks, special in cut:
-            try:
-                out.append(special + sum(map(known.__getitem__, chunks)))
-            except KeyError:  # long chunks, and those that an emptied store has lost
-                out.append(special + sum(n if (n := known.get(c)) is not None else fresh[c] if c in fresh else self.count_one(c) for c in chunks))
+        every = set().union(*(chunks for chunks, _ in cut))
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > CACHED:
+            self.known, new = {}, every
+        self.known.update(self.learn(list(new)))
+        count = self.known.__getitem__
+        out = [special + sum(map(count, chunks)) for chunks, special in cut]
+        for c in new:
+            if len(c) > CACHED_CHARS:
+                del self.known[c]
         return out
 
-    def count_one(self, chunk: str) -> int:
-        return self.learn([chunk])[chunk]
-
 
 def chunks_of(text: str, cut: regex.Pattern | None) -> tuple[list[str], int]:
     """Pieces between which no pre-token reaches, and the number of special strings."""
