@@ -135,5 +135,5 @@ def read_archives(index: DataFrame, payloads: bool = False) -> DataFrame:
                 yield made[names]
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
-    spread = ranges.select("store", "file", "start", "end", "records").repartition("file", "start")
+    spread = ranges.select("store", "file", "start", "end", "records").repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "start")
     return spread.mapInPandas(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads)
