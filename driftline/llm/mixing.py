@@ -127,7 +127,8 @@ def drawn_blocks(targets: DataFrame, shards: int) -> DataFrame:
                     yield pd.DataFrame({"sid": r.sid, "block": block, "words": np.where(k == r.slots - 1, r.last, BLOCK), "shard": r.shard})
 
     dealt = targets.select("sid", "source_size", "target").mapInPandas(deal, "sid bigint, blocks bigint, slots bigint, last bigint, shard bigint, first bigint, count bigint")
-    slots = dealt.repartition("shard").mapInPandas(place, "sid bigint, block bigint, words bigint, shard bigint")
+    tasks = max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 16)
+    slots = dealt.repartition(tasks, "shard").mapInPandas(place, "sid bigint, block bigint, words bigint, shard bigint")
     whole = F.col("words") == BLOCK
     return slots.groupBy("sid", "block").agg(F.sum(whole.cast("int")).alias("times"), F.max(F.when(~whole, F.col("words"))).alias("part"))
 
@@ -147,7 +148,8 @@ def plan(sizes: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
     pieces = placed.withColumn("block", F.explode(spans))
     start = F.col("block") * BLOCK
     pieces = pieces.withColumns({"low": F.greatest(F.col("__at"), start), "high": F.least(end, start + BLOCK)})
-    joined = pieces.join(drawn, ["sid", "block"], "left").withColumns({"part": F.when(F.col("part").isNotNull(), F.least("high", start + F.col("part"))).otherwise(start), "times": F.coalesce("times", F.lit(0))})
+    # drawn grows with the words, which its plan can't tell from the small table of sources: it must not be broadcast
+    joined = pieces.join(drawn.hint("merge"), ["sid", "block"], "left").withColumns({"part": F.when(F.col("part").isNotNull(), F.least("high", start + F.col("part"))).otherwise(start), "times": F.coalesce("times", F.lit(0))})
     own = lambda c: F.when(F.col("size") > 0, F.col(c) - F.col("__at")).otherwise(0).alias(c)
     return targets, joined.select(*[c for c in sizes.columns if c not in ("low", "high", "times", "part")], "source_size", "target", own("low"), own("high"), "times", own("part"))
 
