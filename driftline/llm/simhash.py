@@ -176,7 +176,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     hubs = materialize(points.groupBy("kind", "point").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most"), "hubs")
     pairs = hubs.filter("n = 2").select(F.col("most").alias("a"), F.col("least").alias("b"))
     many = hubs.filter("n > 2").select("kind", "point", "least")
-    star = points.join(many, ["kind", "point"]).filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    star = points.hint("merge").join(many, ["kind", "point"]).filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     return plain.unionByName(pairs).unionByName(star).distinct()
 
 
