@@ -19,7 +19,7 @@ def region_radii(pairs: DataFrame, regions: DataFrame, alpha: float) -> DataFram
     gamma = conformal_quantiles(scored, ["region"], "off", alpha, "gamma").select("region", "gamma")
     mean = scored.groupBy("region").agg(F.avg("d_star").alias("dbar"))
     out = regions.select("region").join(eps, "region", "left").join(gamma, "region", "left").join(mean, "region", "left")
-    return out.select("region", F.coalesce("eps", F.lit(INF)).alias("eps"), F.coalesce("gamma", F.lit(INF)).alias("gamma"), F.round("dbar", 6).alias("dbar"), F.coalesce("m", F.lit(0)).alias("m"))
+    return out.select("region", F.coalesce("eps", F.lit(INF)).alias("eps"), F.coalesce("gamma", F.lit(INF)).alias("gamma"), F.round("dbar", 12).alias("dbar"), F.coalesce("m", F.lit(0)).alias("m"))
 
 
 def width_diagnostic(radii: DataFrame, tau: float) -> DataFrame:

@@ -78,7 +78,7 @@ _PARTS = {
     "edges": "edges AS (SELECT item_id AS src, pos, (item_id * 7 + pos * 13 + 1) % 400 AS dst FROM x, range(6) t(pos) WHERE item_id <> (item_id * 7 + pos * 13 + 1) % 400)",
     "pd": "pd AS (SELECT qid, item_id, region, native, round(list_distance(qvec, new), 6) AS d_star, round(list_distance(qvec, mapped), 6) AS d_hat FROM q, c)",
     "ce": "ce AS (SELECT region, round(abs(round(list_distance(qvec, mapped), 6) - round(list_distance(qvec, new), 6)), 6) AS err, round(list_distance(mapped, new), 6) AS apart, round(list_distance(qvec, new), 6) AS d_star FROM c JOIN q ON q.qid = c.item_id % 50 WHERE c.item_id % 3 <> 0)",
-    "radii": "radii AS (SELECT region, coalesce(min(CASE WHEN r = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN err END), 'infinity'::DOUBLE) AS eps, coalesce(min(CASE WHEN g = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN apart END), 'infinity'::DOUBLE) AS gamma, round(avg(d_star), 6) AS dbar, count(*) AS m FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY err) AS r, row_number() OVER (PARTITION BY region ORDER BY apart) AS g, count(*) OVER (PARTITION BY region) AS n FROM ce) GROUP BY region)",
+    "radii": "radii AS (SELECT region, coalesce(min(CASE WHEN r = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN err END), 'infinity'::DOUBLE) AS eps, coalesce(min(CASE WHEN g = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN apart END), 'infinity'::DOUBLE) AS gamma, round(avg(d_star), 12) AS dbar, count(*) AS m FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY err) AS r, row_number() OVER (PARTITION BY region ORDER BY apart) AS g, count(*) OVER (PARTITION BY region) AS n FROM ce) GROUP BY region)",
     "cand": "cand AS (SELECT qid, item_id, d, native AS exact, d_star, eps, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, item_id) AS r FROM (SELECT *, CASE WHEN native THEN d_star ELSE d_hat END AS d FROM pd)) JOIN radii USING (region) WHERE r <= 60)",
     "scores": "scores AS (SELECT qid, coalesce(max(CASE WHEN NOT exact THEN CASE WHEN isinf(eps) THEN 0 WHEN eps > 0 THEN abs(d - d_star) / eps WHEN d <> d_star THEN 'infinity'::DOUBLE ELSE 0 END END), 0)::DOUBLE AS score FROM cand GROUP BY qid)",
     "view_lam": "view_lam AS (SELECT coalesce(min(CASE WHEN r = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN score END), 'infinity'::DOUBLE) AS lam, coalesce(max(n), 0) AS m FROM (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM scores))",

@@ -49,5 +49,5 @@ def lease_stream(events: DataFrame, lease_seconds: float) -> DataFrame:
 
 def request_windows(events: DataFrame, width: str, late: str) -> DataFrame:
     """(start, event_type, n): requests by window of event time, late ones dropped after the watermark."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counted = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "n")
