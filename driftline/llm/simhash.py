@@ -199,9 +199,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of their near-duplicate component, with the columns of ``docs``.
 
-    Rows that repeat such a key are folded to one; rows without a key are kept.
+    Rows that repeat such a key are folded to one; rows without a key can't be told apart and are all kept.
     """
+    key_of = F.col(f"`{key}`")
     kept = near_duplicates(docs, key, text).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    names = docs.columns
-    found = docs.join(checked(kept), F.col(f"`{key}`") == F.col("__kept"), "left_semi")
-    return found.dropDuplicates([key]).select(names)
+    found = docs.join(checked(kept), key_of == F.col("__kept"), "left_semi").dropDuplicates([key])
+    return found.unionByName(docs.filter(key_of.isNull())).select(docs.columns)
