@@ -18,7 +18,7 @@ GRAIN, DEPTH = 64, 4
 #: Tokens that a task packs at a time; its memory is in proportion.
 BUFFER_TOKENS = 4_000_000
 #: Most words whose ids a worker keeps, and the longest such word; the store is emptied when full.
-CACHED, CACHED_CHARS = 800_000, 64
+CACHED, CACHED_CHARS = 500_000, 64
 SCHEMA = "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 

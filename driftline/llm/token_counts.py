@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Most chunks whose counts a worker keeps; the store is emptied when full.
-CACHED, CACHED_CHARS = 800_000, 64
+CACHED, CACHED_CHARS = 500_000, 64
 #: Most new pre-tokens that are merged at a time.
 MERGED_BYTES = 4_000_000
 NONE = np.int64(2**40)
