@@ -128,3 +128,15 @@ def beam_search(queries: DataFrame, adjacency: DataFrame, vectors: DataFrame, en
                 yield pd.DataFrame({"qid": qid, "item_id": ids[best], "d": [round(found[i], 6) for i in best]})
 
     return queries.select("qid", "qvec").mapInPandas(run, "qid bigint, item_id bigint, d double")
+
+
+def rewritten_share(base: DataFrame, staged: DataFrame) -> DataFrame:
+    """One row, share: of the staged lists' neighbours those that the base lists don't hold."""
+    both = staged.select("src", F.col("nbrs").alias("new")).join(base.select("src", F.col("nbrs").alias("old")), "src", "left").withColumn("old", F.coalesce("old", F.array().cast("array<bigint>")))
+    return both.agg(F.round(F.sum(F.size(F.array_except("new", "old"))) / F.nullif(F.sum(F.size("new")), F.lit(0)), 6).alias("share"))
+
+
+def levels(items: DataFrame, degree: int, top: int = 16) -> DataFrame:
+    """(item_id, level): the highest layer of each item, floor(-ln(u) / ln(degree)) for u in (0, 1] from its id."""
+    u = ((F.col("item_id") * 7919 + 104729) % 1009 + 1) / F.lit(1009.0)
+    return items.select("item_id", F.least(F.lit(top), F.floor(-F.log(u) / F.log(F.lit(float(degree)))).cast("int")).alias("level"))

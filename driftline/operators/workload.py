@@ -55,3 +55,11 @@ def recent_window(requests: DataFrame, size: int) -> DataFrame:
     """(key, seq): of the last ``size`` requests the latest of each key."""
     last = requests.orderBy(F.desc("seq")).limit(size)
     return last.groupBy("key").agg(F.max("seq").alias("seq"))
+
+
+def probe_window(stream: DataFrame, at: int, size: int) -> DataFrame:
+    """(j, query): ``size`` requests of the stream (pos, query) from position ``at`` on, beginning anew at its end."""
+    spark = stream.sparkSession
+    n = stream.agg(F.count(F.lit(1)).alias("n"))
+    wanted = spark.range(size).select(F.col("id").alias("j")).join(F.broadcast(n)).withColumn("pos", (F.col("j") + at) % F.col("n"))
+    return wanted.join(stream, "pos").select("j", "query")

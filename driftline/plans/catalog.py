@@ -571,6 +571,41 @@ def insert_delete(b):
     return lifecycle.insert(lifecycle.delete(items, b.items.filter("item_id % 50 = 7")), new, 4)
 
 
+@query("WITH o AS (SELECT src, list(DISTINCT dst) AS old FROM edges GROUP BY src), n AS (SELECT src, list(DISTINCT (dst + src % 3) % 400) AS nbrs FROM edges WHERE pos < 5 GROUP BY src) SELECT round(sum(len(list_filter(nbrs, lambda t: NOT list_contains(old, t)))) / sum(len(nbrs)), 6) AS share FROM n JOIN o USING (src)")
+def rewritten_share(b):
+    base = b.edges.groupBy("src").agg(F.collect_set("dst").alias("nbrs"))
+    staged = b.edges.filter("pos < 5").groupBy("src").agg(F.collect_set((F.col("dst") + F.col("src") % 3) % 400).alias("nbrs"))
+    return graph.rewritten_share(base, staged)
+
+
+@query("SELECT item_id, least(16, floor(-ln(((item_id * 7919 + 104729) % 1009 + 1) / 1009.0::DOUBLE) / ln(64.0::DOUBLE)))::INT AS level FROM x")
+def level_draw(b):
+    return graph.levels(b.items, 64)
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM events) SELECT j, user_id AS query FROM range(300) t(j), n, events WHERE event_id = (j + 950) % n")
+def probe_window(b):
+    return workload.probe_window(b.events.select(F.col("event_id").alias("pos"), F.col("user_id").alias("query")), 950, 300)
+
+
+_CHOSEN = """i0 AS (SELECT qid, item_id, d, exact, r, CASE WHEN exact THEN d WHEN isinf(eps) THEN 0 ELSE greatest(0, d - eps) END AS lb, CASE WHEN exact THEN d ELSE d + eps END AS ub FROM cand),
+k0 AS (SELECT qid, lb AS lk, ub AS uk, d AS dk FROM i0 WHERE r = 10),
+chosen AS (SELECT DISTINCT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY qid ORDER BY round(least(ub, uk) - greatest(lb, lk), 9) DESC, round(abs(d - dk), 9), item_id) AS t FROM i0 JOIN k0 USING (qid) WHERE NOT exact AND round(least(ub, uk) - greatest(lb, lk), 9) >= 0) WHERE t <= 8),
+again AS (SELECT qid, item_id, d, exact, w, row_number() OVER (PARTITION BY qid ORDER BY d, item_id) AS r FROM (SELECT qid, item_id, CASE WHEN item_id IN (SELECT item_id FROM chosen) THEN d_star ELSE d END AS d, exact OR item_id IN (SELECT item_id FROM chosen) AS exact, eps AS w FROM cand))"""
+
+
+@query("WITH " + _CHOSEN + ", " + _certified("SELECT * FROM again").removeprefix("WITH "))
+def resolved_search(b):
+    c = b.candidates.withColumn("w", F.col("eps"))
+    return search.certify(lifecycle.resolve_round(c, search.ambiguous(c, K, 8)), K)
+
+
+@query(f"WITH {_OVERLAY} SELECT c.item_id, round(coalesce(o.vec[1], new[1]), 6) AS first_part FROM c LEFT JOIN o ON o.item_id = c.item_id WHERE native OR o.item_id IS NOT NULL")
+def retire(b):
+    exact, _ = lifecycle.retire(_view(b), _overlay(b), 1)
+    return exact.select("item_id", F.round(F.col("vec")[0], 6).alias("first_part"))
+
+
 # ---------------------------------------------------------------- fitted models (not SQL)
 
 

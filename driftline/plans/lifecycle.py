@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.scheduling import BRIDGED, LEGACY, NATIVE, RESOLVING
@@ -75,3 +75,33 @@ def recover(log: DataFrame, native: DataFrame) -> DataFrame:
 def pending_merge(log: DataFrame) -> DataFrame:
     """(epoch): committed epochs whose merge the log doesn't hold yet, to be done again."""
     return log.filter("kind = 'epoch'").select("epoch").join(log.filter("kind = 'merged'").select("epoch"), "epoch", "left_anti")
+
+
+def resolve_round(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Candidates (qid, item_id, d, exact, w, d_star) after the chosen ones were encoded: exact wherever they occur."""
+    done = chosen.select("item_id").distinct().withColumn("__done", F.lit(True))
+    joined = candidates.join(done, "item_id", "left").withColumn("__done", F.coalesce("__done", F.lit(False)))
+    return joined.withColumns({"d": F.when(F.col("__done"), F.col("d_star")).otherwise(F.col("d")), "exact": F.col("exact") | F.col("__done")}).drop("__done")
+
+
+def retire(view: DataFrame, overlay: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+    """What the next migration starts from: the vectors that are exact (item_id, vec), and the items that are not yet
+    and go over directly."""
+    last = overlay.agg(F.coalesce(F.max("gen"), F.lit(0))).first()[0]
+    final = close_epoch(view, overlay, int(last), version)
+    return final.filter("native").select("item_id", "vec"), final.filter("not native").select("item_id")
+
+
+def snapshot(tables: dict[str, DataFrame], root: str, seq: int) -> str:
+    """Write the tables under root/seq=N and then a marker; a snapshot without its marker doesn't count."""
+    spark, path = next(iter(tables.values())).sparkSession, f"{root}/seq={seq:012d}"
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark.createDataFrame([(seq, sorted(tables))], "seq bigint, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/committed")
+    return path
+
+
+def restore(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the last snapshot that has its marker."""
+    said = spark.read.schema("seq bigint, tables array<string>").json(f"{root}/seq=*/committed").orderBy(F.desc("seq")).first()
+    return {name: spark.read.parquet(f"{root}/seq={said.seq:012d}/{name}") for name in said.tables}

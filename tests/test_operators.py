@@ -237,3 +237,32 @@ def test_streams(spark, tmp_path):
 def test_request_windows(spark):
     events = spark.readStream.schema(spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema).parquet("/root/testdata/sf0.001/events.parquet*")
     assert sum(r.n for r in run_stream(state.request_windows(events, "1 hour", "1 hour"), "windows", "complete")) == 1000
+
+
+def test_native_log(spark, tmp_path):
+    parts = [wal.native_record(i, 5, [float(i), 0.5]) for i in range(5)]
+    parts[3] = parts[3][:-1] + b"x"
+    (tmp_path / "n").write_bytes(b"".join(parts) + b"torn")
+    got = wal.read_native(spark, str(tmp_path / "n"), 2).orderBy("pos").collect()
+    assert [(r.item_id, r.fence, r.vec) for r in got] == [(i, 5, [float(i), 0.5]) for i in range(3)]
+
+
+def test_snapshot(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    lifecycle.snapshot({"a": spark.range(3)}, root, 1)
+    lifecycle.snapshot({"a": spark.range(7)}, root, 2)
+    spark.range(9).write.parquet(f"{root}/seq=000000000003/a")
+    assert lifecycle.restore(spark, root)["a"].count() == 7
+
+
+def test_certify_in_sql(spark):
+    from driftline.functions import udtf
+
+    udtf.register(spark)
+    rows = candidates(np.random.default_rng(8), 20, 12)
+    for q in range(20):
+        own = [r for r in rows if r["qid"] == q]
+        text = lambda f: "array(" + ", ".join(f(r) for r in own) + ")"
+        number = lambda c: text(lambda r: "double('Infinity')" if math.isinf(r[c]) else f"{r[c]}D")
+        got = spark.sql(f"SELECT * FROM certify({number('d')}, {text(lambda r: str(r['exact']))}, {number('w')}, {text(lambda r: str(r['item_id']))}, 4)").first()
+        assert tuple(got) == naive_certificate(own, 4)
