@@ -70,6 +70,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
 
 #: The pre-tokens of the word-level vocabulary, whose normal form of Latin-1 text is its lower case.
 LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^ \t-\r\x85\xa00-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
+#: Words of Latin-1 letters that are one pre-token each; other letters may stand beside signs and go in alone.
+SINGLE = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)")
 _COMBOS = combinations(WINDOW // GRAIN, DEPTH)
 
 
@@ -148,7 +150,7 @@ class WordIds:
     def ask(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words from the library. Single pre-tokens go in together, since each one's last id ends a word."""
         out: dict[str, bytes] = {}
-        single = [w for w in words if LATIN.fullmatch(w) and w.islower()]
+        single = [w for w in words if SINGLE.fullmatch(w)]
         for at in range(0, len(single), 1000):
             some = single[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")

@@ -79,6 +79,17 @@ def test_plan_fills_windows():
         assert all(v == packing.WINDOW or v & (v - 1) == 0 for v in fill.values())
 
 
+def test_word_ids_of_odd_texts():
+    """Other scripts, signs beside letters, marks, spaces of all kinds and special strings give the library's ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), packing.WordIds(path)
+    bits = [*"aéßÿµªZ1²½!_\n\t\x0b\x1c\x85\xa0\xad", "привет", "Ω", "ſ", "İ", "漢", "\u0301", "\u200b", "\u3000", ",", "ж", "'s", "'LL", " ", "  ", "<|endoftext|>", "</w>"]
+    rng = np.random.default_rng(3)
+    texts = ["", "привет, мир! ſ?", *("".join(rng.choice(bits, rng.integers(0, 40))) for _ in range(3000))]
+    for t, got in zip(texts, mine.of(texts), strict=True):
+        assert got == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_nnls_matches_conditions():
     rng = np.random.default_rng(1)
     for _ in range(20):
