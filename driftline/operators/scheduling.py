@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import vectors as V
+from driftline.functions.rank import numbered
 
 LEGACY, BRIDGED, RESOLVING, NATIVE = 0, 1, 2, 3
 #: Work categories, most urgent first.
@@ -44,7 +45,7 @@ def region_batches(queue: DataFrame, size: int) -> DataFrame:
     at = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
     own = Window.partitionBy("category", "region")
     q = queue.withColumns({"prio": at, "first": F.min("seq").over(own), "k": F.floor((F.row_number().over(own.orderBy("seq")) - 1) / size)})
-    batches = q.select("prio", "first", "region", "k").distinct().withColumn("batch", F.row_number().over(Window.orderBy("prio", "first", "region", "k")))
+    batches = numbered(q.select("prio", "first", "region", "k").distinct(), [F.col("prio"), F.col("first"), F.col("region"), F.col("k")], "batch")
     return q.join(batches, ["prio", "first", "region", "k"]).select("category", "region", "item_id", "batch")
 
 

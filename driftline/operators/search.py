@@ -52,15 +52,10 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "qid", ite
     return found.withColumn("r", rank).filter(F.col("r") <= k)
 
 
-def pair_distances(queries: DataFrame, items: DataFrame, column: str = "vec", into: str = "d") -> DataFrame:
-    """All distances of a stated, small query set to the items (the checked definition of ``knn``)."""
-    return items.join(F.broadcast(queries)).withColumn(into, V.l2(F.col("qvec"), F.col(column)))
-
-
 def region_probe(queries: DataFrame, items: DataFrame, centroids: DataFrame, probes: int, k: int) -> DataFrame:
     """(qid, item_id, d, r): search of the ``probes`` regions whose centroids are nearest, joined on the region."""
-    near = pair_distances(queries, centroids, "centroid", "cd")
-    chosen = near.withColumn("cr", F.row_number().over(Window.partitionBy("qid").orderBy("cd", "region"))).filter(F.col("cr") <= probes).select("qid", "qvec", "region")
+    near = knn(queries, centroids.withColumnRenamed("centroid", "qvec"), probes, item_id="region", vector="qvec").select("qid", F.col("item_id").alias("region"))
+    chosen = near.join(queries, "qid")
     d = items.join(chosen, "region").withColumn("d", V.l2(F.col("qvec"), F.col("vec")))
     return d.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "item_id"))).filter(F.col("r") <= k).select("qid", "item_id", "d", "r")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.rank import numbered
+
 
 def shuffled(key: Column, seed: int) -> Column:
     """A pseudorandom number in [0, 1) that both SQL engines compute alike."""
@@ -32,7 +34,7 @@ def zipf_stream(queries: int, draws: DataFrame, exponent: float, seed: int) -> D
 def cold_queries(truth: DataFrame, heat: DataFrame, regions: int) -> DataFrame:
     """(qid): queries all of whose true neighbours lie in the coldest tenth of regions; truth (qid, region)."""
     coldest = heat.orderBy("heat", "region").limit(max(1, regions // 10)).select("region", F.lit(True).alias("cold"))
-    marked = truth.join(F.broadcast(coldest), "region", "left")
+    marked = truth.join(coldest, "region", "left")
     return marked.groupBy("qid").agg(F.bool_and(F.coalesce("cold", F.lit(False))).alias("cold")).filter("cold").select("qid")
 
 
@@ -48,7 +50,7 @@ def rare_entities(items: DataFrame, title: str) -> DataFrame:
 def backfill_order(items: DataFrame, done: DataFrame) -> DataFrame:
     """(item_id, pos): the items not yet done by priority, then id."""
     rest = items.join(done.select("item_id"), "item_id", "left_anti")
-    return rest.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("priority"), "item_id"))).select("item_id", "pos")
+    return numbered(rest, [F.desc("priority"), F.col("item_id")], "pos").select("item_id", "pos")
 
 
 def recent_window(requests: DataFrame, size: int) -> DataFrame:

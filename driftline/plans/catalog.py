@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import stats, vectors as V
@@ -13,7 +13,8 @@ from driftline.plans import lifecycle
 from driftline.session import table
 from driftline.sources import corpora, wal
 
-WIDTH, K, CANDIDATES, ALPHA, QUERIES_BELOW = 64, 10, 60, 0.05, 50
+#: Every QUERY_STEP-th row is a query, against all rows; ALPHA_Q suits the few queries of the small tables.
+WIDTH, K, CANDIDATES, ALPHA, ALPHA_Q, QUERY_STEP = 64, 10, 60, 0.05, 0.2, 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -29,20 +30,23 @@ class Base:
         e = e.withColumn("mapped", F.transform(F.concat(F.slice("old", 2, WIDTH - 1), F.slice("old", 1, 1)), lambda x, j: x * F.when(j % 2 == 0, 1.0).otherwise(-1.0)))
         noise = lambda j: (F.lit(0.002) + F.lit(0.001) * F.col("region")) * (((F.col("item_id") * 7919 + j * 104729) % 1009) / F.lit(1009.0) - 0.5)
         self.items = e.withColumn("new", F.transform("mapped", lambda x, j: x + noise(j))).withColumn("native", F.col("item_id") % 5 == 0)
-        self.queries = self.items.filter(F.col("item_id") < QUERIES_BELOW).select(F.col("item_id").alias("qid"), F.col("new").alias("qvec"))
-        self.corpus = self.items.filter(F.col("item_id") >= QUERIES_BELOW)
+        self.queries = self.items.filter(F.col("item_id") % QUERY_STEP == 0).select(F.col("item_id").alias("qid"), F.col("new").alias("qvec"))
+        self.corpus = self.items
         self.edges = self.items.select(F.col("item_id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos")).select("src", "pos", ((F.col("src") * 7 + F.col("pos") * 13 + 1) % 400).alias("dst")).filter("src <> dst")
         self.events = table(spark, sf_dir, "events")
 
-    @property
-    def distances(self) -> DataFrame:
-        pairs = search.pair_distances(self.queries, self.corpus.select("item_id", "region", "native", "new", "mapped"), "new", "d_star")
-        return pairs.withColumn("d_hat", V.l2(F.col("qvec"), F.col("mapped"))).select("qid", "item_id", "region", "native", "d_star", "d_hat")
+    def paired(self, items: DataFrame) -> DataFrame:
+        """Items with the query of their hundred, but for the query itself."""
+        return items.withColumn("qid", F.col("item_id") - F.col("item_id") % QUERY_STEP).join(self.queries, "qid").filter("qid <> item_id")
 
     @property
     def pairs(self) -> DataFrame:
-        cal = self.corpus.filter(F.col("item_id") % 3 != 0).withColumn("qid", F.col("item_id") % QUERIES_BELOW)
-        return cal.join(F.broadcast(self.queries), "qid").select("region", "qvec", "mapped", F.col("new").alias("exact"))
+        return self.paired(self.corpus.filter(F.col("item_id") % 3 != 0)).select("region", "qvec", "mapped", F.col("new").alias("exact"))
+
+    def nearest(self, vec: Column, k: int, items: DataFrame | None = None) -> DataFrame:
+        """(qid, item_id, d, r): the k nearest of each query by the items' vectors ``vec``."""
+        items = self.corpus if items is None else items
+        return search.knn(self.queries.withColumnRenamed("qvec", "vec"), items.select("item_id", vec.alias("vec")), k)
 
     @property
     def radii(self) -> DataFrame:
@@ -50,9 +54,9 @@ class Base:
 
     @property
     def candidates(self) -> DataFrame:
-        d = self.distances.withColumn("d", F.when(F.col("native"), F.col("d_star")).otherwise(F.col("d_hat")))
-        top = d.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "item_id"))).filter(F.col("r") <= CANDIDATES)
-        return top.join(F.broadcast(self.radii.select("region", "eps")), "region").select("qid", "item_id", "d", F.col("native").alias("exact"), "d_star", "eps", "r")
+        top = self.nearest(F.when(F.col("native"), F.col("new")).otherwise(F.col("mapped")), CANDIDATES)
+        known = top.join(self.corpus.select("item_id", "region", "new", F.col("native").alias("exact")), "item_id").join(self.queries, "qid").withColumn("d_star", V.l2(F.col("qvec"), F.col("new")))
+        return known.join(self.radii.select("region", "eps"), "region").select("qid", "item_id", "d", "exact", "d_star", "eps", "r")
 
     @property
     def log(self) -> DataFrame:
@@ -68,20 +72,20 @@ class Base:
         hits = self.events.select((F.col("user_id") % 500).alias("item_id"), F.col("event_id").alias("seq"))
         warm = scheduling.heat(hits, 10_000, 10_000.0)
         base = self.items.select("item_id", "region", (F.col("item_id") % 4).cast("int").alias("state"), (F.col("item_id") % 11 == 0).alias("deleted"), (F.col("item_id") % 3 == 0).alias("flipped"))
-        return base.join(warm, "item_id", "left").join(scheduling.in_degree(self.edges, self.items), "item_id").join(F.broadcast(self.radii.select("region", "eps")), "region").withColumn("heat", F.round(F.coalesce("heat", F.lit(0.0)), 6))
+        return base.join(warm, "item_id", "left").join(scheduling.in_degree(self.edges, self.items), "item_id").join(self.radii.select("region", "eps"), "region").withColumn("heat", F.round(F.coalesce("heat", F.lit(0.0)), 6))
 
 
 _PARTS = {
     "x": "x AS (SELECT vec_id AS item_id, label AS region, old, mapped, list_transform(range(64), lambda j: mapped[j + 1] + (0.002::DOUBLE + 0.001::DOUBLE * label) * (((vec_id * 7919 + j * 104729) % 1009) / 1009.0::DOUBLE - 0.5::DOUBLE)) AS new, vec_id % 5 = 0 AS native FROM (SELECT vec_id, label, old, list_transform(range(64), lambda j: (CASE WHEN j % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * old[(j + 1) % 64 + 1]) AS mapped FROM (SELECT vec_id, label, embedding::DOUBLE[] AS old FROM embeddings)))",
-    "q": "q AS (SELECT item_id AS qid, new AS qvec FROM x WHERE item_id < 50)",
-    "c": "c AS (SELECT * FROM x WHERE item_id >= 50)",
+    "q": "q AS (SELECT item_id AS qid, new AS qvec FROM x WHERE item_id % 100 = 0)",
+    "c": "c AS (SELECT * FROM x)",
     "edges": "edges AS (SELECT item_id AS src, pos, (item_id * 7 + pos * 13 + 1) % 400 AS dst FROM x, range(6) t(pos) WHERE item_id <> (item_id * 7 + pos * 13 + 1) % 400)",
     "pd": "pd AS (SELECT qid, item_id, region, native, round(list_distance(qvec, new), 6) AS d_star, round(list_distance(qvec, mapped), 6) AS d_hat FROM q, c)",
-    "ce": "ce AS (SELECT region, round(abs(round(list_distance(qvec, mapped), 6) - round(list_distance(qvec, new), 6)), 6) AS err, round(list_distance(mapped, new), 6) AS apart, round(list_distance(qvec, new), 6) AS d_star FROM c JOIN q ON q.qid = c.item_id % 50 WHERE c.item_id % 3 <> 0)",
+    "ce": "ce AS (SELECT region, round(abs(round(list_distance(qvec, mapped), 6) - round(list_distance(qvec, new), 6)), 6) AS err, round(list_distance(mapped, new), 6) AS apart, round(list_distance(qvec, new), 6) AS d_star FROM c JOIN q ON q.qid = c.item_id - c.item_id % 100 AND q.qid <> c.item_id WHERE c.item_id % 3 <> 0)",
     "radii": "radii AS (SELECT region, coalesce(min(CASE WHEN r = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN err END), 'infinity'::DOUBLE) AS eps, coalesce(min(CASE WHEN g = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN apart END), 'infinity'::DOUBLE) AS gamma, round(avg(d_star), 12) AS dbar, count(*) AS m FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY err) AS r, row_number() OVER (PARTITION BY region ORDER BY apart) AS g, count(*) OVER (PARTITION BY region) AS n FROM ce) GROUP BY region)",
     "cand": "cand AS (SELECT qid, item_id, d, native AS exact, d_star, eps, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, item_id) AS r FROM (SELECT *, CASE WHEN native THEN d_star ELSE d_hat END AS d FROM pd)) JOIN radii USING (region) WHERE r <= 60)",
     "scores": "scores AS (SELECT qid, coalesce(max(CASE WHEN NOT exact THEN CASE WHEN isinf(eps) THEN 0 WHEN eps > 0 THEN abs(d - d_star) / eps WHEN d <> d_star THEN 'infinity'::DOUBLE ELSE 0 END END), 0)::DOUBLE AS score FROM cand GROUP BY qid)",
-    "view_lam": "view_lam AS (SELECT coalesce(min(CASE WHEN r = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN score END), 'infinity'::DOUBLE) AS lam, coalesce(max(n), 0) AS m FROM (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM scores))",
+    "view_lam": "view_lam AS (SELECT coalesce(min(CASE WHEN r = ceil((1 - 0.2::DOUBLE) * (n + 1)) THEN score END), 'infinity'::DOUBLE) AS lam, coalesce(max(n), 0) AS m FROM (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM scores))",
     "log": "log AS (SELECT event_id AS seq, user_id % 50 AS query, ((event_id * 37) % 11) / 10.0::DOUBLE AS recall, CASE WHEN event_id % 7 <> 0 THEN ((event_id * 53) % 11) / 10.0::DOUBLE END AS bound, ((event_id * 41) % 11) / 10.0::DOUBLE AS examined_recall, ((event_id * 43) % 11) / 10.0::DOUBLE AS capture, ((event_id * 59) % 13) / 10.0::DOUBLE AS score, 1.0::DOUBLE AS lam, (event_id * 61) % 3 AS requested, (event_id * 67) % 2 AS resolved, (event_id * 71 + 1) % 5 AS waited, ((event_id * 73) % 997) / 1000.0::DOUBLE AS latency, ((event_id * 79) % 11) / 1000.0::DOUBLE AS cpu FROM events)",
     "states": "states AS (SELECT x.item_id, x.region, x.item_id % 4 AS state, x.item_id % 11 = 0 AS deleted, x.item_id % 3 = 0 AS flipped, round(coalesce(heat, 0), 6) AS heat, coalesce(deg, 0) AS deg, eps FROM x LEFT JOIN (SELECT user_id % 500 AS item_id, sum(pow(2.0::DOUBLE, -(10000 - event_id) / 10000.0::DOUBLE)) AS heat FROM events GROUP BY 1) h ON h.item_id = x.item_id LEFT JOIN (SELECT dst, count(*) AS deg FROM edges GROUP BY dst) g ON g.dst = x.item_id JOIN radii ON radii.region = x.region)",
 }
@@ -126,12 +130,6 @@ def knn_exact(b):
     return search.knn(b.queries.withColumnRenamed("qvec", "vec"), b.corpus.select("item_id", F.col("new").alias("vec")), K)
 
 
-@query("SELECT qid, item_id, d, r FROM (SELECT qid, item_id, d_star AS d, row_number() OVER (PARTITION BY qid ORDER BY d_star, item_id) AS r FROM pd) WHERE r <= 10")
-def knn_definition(b):
-    d = b.distances.select("qid", "item_id", F.col("d_star").alias("d"))
-    return d.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "item_id"))).filter(F.col("r") <= K)
-
-
 def _centroids(b):
     long = b.corpus.select("region", F.posexplode("new").alias("j", "v")).groupBy("region", "j").agg(F.avg("v").alias("v"))
     return long.groupBy("region").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("centroid"))
@@ -167,9 +165,7 @@ def bridge_apply(b):
 f AS (SELECT * FROM (SELECT qid, item_id, d_star AS d, row_number() OVER (PARTITION BY qid ORDER BY d_star, item_id) AS r FROM pd WHERE native) WHERE r <= 10)
 SELECT qid, item_id, d, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, item_id) AS r FROM (SELECT qid, item_id, coalesce(f.d, o.d) AS d FROM o FULL JOIN f USING (qid, item_id))) WHERE r <= 10""")
 def rank_merge(b):
-    d = b.distances
-    top = lambda x, c: x.withColumn("d", F.col(c)).withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "item_id"))).filter(F.col("r") <= K)
-    return search.rank_merge(top(d, "d_hat"), top(d.filter("native"), "d_star"), K)
+    return search.rank_merge(b.nearest(F.col("mapped"), K), b.nearest(F.col("new"), K, b.corpus.filter("native")), K)
 
 
 # ---------------------------------------------------------------- calibration and certificates
@@ -204,7 +200,7 @@ def query_scores(b):
 
 @query("SELECT round(lam, 6) AS lam, m FROM view_lam")
 def view_lambda(b):
-    return calibration.view_scale(calibration.query_scores(b.candidates), ALPHA).withColumn("lam", F.round("lam", 6))
+    return calibration.view_scale(calibration.query_scores(b.candidates), ALPHA_Q).withColumn("lam", F.round("lam", 6))
 
 
 @query("SELECT qid, item_id, round(CASE WHEN exact THEN d WHEN isinf(eps) THEN 0 ELSE greatest(0, d - eps) END, 6) AS lb, round(CASE WHEN exact THEN d ELSE d + eps END, 6) AS ub FROM cand")
@@ -229,7 +225,7 @@ def certify(b):
 @query(_certified("SELECT cand.*, CASE WHEN isinf(eps) OR isinf(lam) THEN 'infinity'::DOUBLE ELSE eps * lam END AS w FROM cand, view_lam"))
 def certified_search(b):
     c = b.candidates
-    lam = calibration.view_scale(calibration.query_scores(c), ALPHA).select("lam")
+    lam = calibration.view_scale(calibration.query_scores(c), ALPHA_Q).select("lam")
     return search.certify(c.join(F.broadcast(lam)).withColumn("w", V.width_of(F.col("eps"), F.col("lam"))), K)
 
 
@@ -249,7 +245,7 @@ def recall_at_k(b):
 
 
 def _truth(b):
-    return b.distances.withColumn("t", F.row_number().over(Window.partitionBy("qid").orderBy("d_star", "item_id"))).filter(F.col("t") <= K).select("qid", "item_id")
+    return b.nearest(F.col("new"), K).select("qid", "item_id")
 
 
 @query(f"""WITH {_TRUTH}, e AS (SELECT qid, item_id FROM (SELECT qid, item_id, row_number() OVER (PARTITION BY qid ORDER BY d_star, item_id) AS t FROM cand) WHERE t <= 10), s AS (SELECT qid, item_id FROM cand WHERE r <= 10)
@@ -261,9 +257,9 @@ def request_metrics(b):
     return out.join(search.recall(c, truth, K, "capture"), "qid")
 
 
-@query("SELECT 0.05::DOUBLE AS alpha, round(avg((err <= eps)::INT), 6) AS coverage, round(avg(CASE WHEN NOT isinf(eps) THEN eps / held.d_star END), 6) AS width FROM (SELECT region, round(abs(round(list_distance(qvec, mapped), 6) - round(list_distance(qvec, new), 6)), 6) AS err, round(list_distance(qvec, new), 6) AS d_star FROM c JOIN q ON q.qid = c.item_id % 50 WHERE c.item_id % 3 = 0) held JOIN radii USING (region)")
+@query("SELECT 0.05::DOUBLE AS alpha, round(avg((err <= eps)::INT), 6) AS coverage, round(avg(CASE WHEN NOT isinf(eps) THEN eps / held.d_star END), 6) AS width FROM (SELECT region, round(abs(round(list_distance(qvec, mapped), 6) - round(list_distance(qvec, new), 6)), 6) AS err, round(list_distance(qvec, new), 6) AS d_star FROM c JOIN q ON q.qid = c.item_id - c.item_id % 100 AND q.qid <> c.item_id WHERE c.item_id % 3 = 0) held JOIN radii USING (region)")
 def coverage(b):
-    held = b.corpus.filter(F.col("item_id") % 3 == 0).withColumn("qid", F.col("item_id") % QUERIES_BELOW).join(F.broadcast(b.queries), "qid").withColumn("d_star", V.l2(F.col("qvec"), F.col("new")))
+    held = b.paired(b.corpus.filter(F.col("item_id") % 3 == 0)).withColumn("d_star", V.l2(F.col("qvec"), F.col("new")))
     errors = held.select("region", "d_star", F.round(F.abs(V.l2(F.col("qvec"), F.col("mapped")) - F.col("d_star")), 6).alias("err"))
     return evaluation.coverage(errors, b.radii.select("region", F.lit(0.05).alias("alpha"), "eps"))
 
@@ -292,12 +288,12 @@ def scheduler_pick_radius(b):
     return scheduling.pick(b.states, 64, "radius")
 
 
-@query("""WITH e AS (SELECT event_id AS seq, ['resolution', 'calibration', 'calibration_query', 'scheduled'][event_id % 4 + 1] AS category, event_id % 4 AS prio, user_id % 10 AS region, event_id * 3 AS item_id FROM events WHERE event_type = 'click'),
+@query("""WITH e AS (SELECT event_id AS seq, ['resolution', 'calibration', 'calibration_query', 'scheduled'][event_id % 4 + 1] AS category, event_id % 4 AS prio, user_id % 10 AS region, event_id * 3 AS item_id FROM events),
 k AS (SELECT *, min(seq) OVER (PARTITION BY prio, region) AS f, (row_number() OVER (PARTITION BY prio, region ORDER BY seq) - 1) // 16 AS k FROM e)
 SELECT category, region, item_id, dense_rank() OVER (ORDER BY prio, f, region, k) AS batch FROM k""")
 def region_batches(b):
     names = F.array(*map(F.lit, scheduling.CATEGORIES))
-    queue = b.events.filter("event_type = 'click'").select(F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("category"), (F.col("user_id") % 10).alias("region"), (F.col("event_id") * 3).alias("item_id"))
+    queue = b.events.select(F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("category"), (F.col("user_id") % 10).alias("region"), (F.col("event_id") * 3).alias("item_id"))
     return scheduling.region_batches(queue, 16)
 
 
@@ -380,7 +376,7 @@ def graph_audit(b):
 def graph_beam_search(b):
     vec = b.corpus.select("item_id", F.col("new").alias("vec"))
     adjacency = graph.connect(graph.prune(_pool(b), 1.2, 12), vec, 1.2, 16).groupBy("src").agg(F.collect_list("dst").alias("nbrs"))
-    return graph.beam_search(b.queries, adjacency, vec, QUERIES_BELOW, 40)
+    return graph.beam_search(b.queries, adjacency, vec, 0, 40)
 
 
 # ---------------------------------------------------------------- logs and evaluation
@@ -496,10 +492,10 @@ def glove_average(b):
     return got.select(F.col("id").alias("doc_id"), *[F.round(F.col("vec")[j], 6).alias(f"v{j}") for j in range(3)])
 
 
-@query("SELECT event_id AS pos, coalesce(d.text, 'images/' || (event_id * 31) % 1500 || '.jpg') AS content FROM events LEFT JOIN documents d ON d.doc_id = (event_id * 31) % 1500 WHERE event_id < 200")
+@query("SELECT event_id AS pos, coalesce(d.text, 'images/' || (event_id * 31) % 1500 || '.jpg') AS content FROM events LEFT JOIN documents d ON d.doc_id = (event_id * 31) % 1500")
 def corpus_lookup(b):
     docs = table(b.spark, b.dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    ids = b.events.filter("event_id < 200").select(F.col("event_id").alias("pos"), ((F.col("event_id") * 31) % 1500).alias("id"))
+    ids = b.events.select(F.col("event_id").alias("pos"), ((F.col("event_id") * 31) % 1500).alias("id"))
     own = docs.join(ids.select("id").distinct(), "id", "right").withColumn("image", F.concat(F.col("id").cast("string"), F.lit(".jpg")))
     return corpora.lookup(own, ids, "images").select("pos", "content")
 
@@ -540,10 +536,10 @@ def wal_prefix(b):
 def _records(b):
     i = F.col("event_id")
     kinds = F.array(*map(F.lit, ("native", "epoch", "merged", "edges")))
-    return b.events.filter("event_id < 400").select(i.alias("seq"), F.element_at(kinds, (i % 4 + 1).cast("int")).alias("kind"), F.floor(i / 100).alias("gen"), (i % 100).alias("offset"), (i % 3).alias("cnt"), F.floor(i / 4).alias("epoch"))
+    return b.events.select(i.alias("seq"), F.element_at(kinds, (i % 4 + 1).cast("int")).alias("kind"), (i % 5).alias("gen"), (i % 100).alias("offset"), (i % 3).alias("cnt"), F.floor(i / 4).alias("epoch"))
 
 
-_RECORDS = "l AS (SELECT event_id AS seq, ['native', 'epoch', 'merged', 'edges'][event_id % 4 + 1] AS kind, event_id // 100 AS gen, event_id % 100 AS start, event_id % 3 AS cnt, event_id // 4 AS epoch FROM events WHERE event_id < 400)"
+_RECORDS = "l AS (SELECT event_id AS seq, ['native', 'epoch', 'merged', 'edges'][event_id % 4 + 1] AS kind, event_id % 5 AS gen, event_id % 100 AS start, event_id % 3 AS cnt, event_id // 4 AS epoch FROM events)"
 
 
 @query(f"WITH {_RECORDS}, s AS (SELECT gen, max(start + cnt) AS size, max(seq) AS seq FROM l WHERE kind = 'native' GROUP BY gen), e AS (SELECT max_by(gen, seq) AS g FROM l WHERE kind = 'epoch') SELECT item_id, item_id % 5 AS gen, s.seq, item_id % 5 <= g AS frozen FROM x JOIN s ON s.gen = item_id % 5, e WHERE (item_id * 7) % 120 < size")
@@ -564,10 +560,10 @@ def claim_items(b):
     return after.select("item_id", "state")
 
 
-@query("SELECT item_id, item_id % 4 AS state, item_id % 11 = 0 OR item_id % 50 = 7 AS deleted, 0 AS since FROM x UNION ALL SELECT (SELECT max(item_id) FROM x) + row_number() OVER (ORDER BY c_custkey), 3, false, 5 FROM customer WHERE c_custkey < 20")
+@query("SELECT item_id, item_id % 4 AS state, item_id % 11 = 0 OR item_id % 50 = 7 AS deleted, 0 AS since FROM x UNION ALL SELECT (SELECT max(item_id) FROM x) + row_number() OVER (ORDER BY c_custkey), 3, false, 5 FROM customer")
 def insert_delete(b):
     items = b.items.select("item_id", (F.col("item_id") % 4).cast("int").alias("state"), (F.col("item_id") % 11 == 0).alias("deleted"), F.lit(0).alias("since"))
-    new = table(b.spark, b.dir, "customer").filter("c_custkey < 20").select(F.col("c_custkey").alias("key"))
+    new = table(b.spark, b.dir, "customer").select(F.col("c_custkey").alias("key"))
     return lifecycle.insert(lifecycle.delete(items, b.items.filter("item_id % 50 = 7")), new, 4)
 
 

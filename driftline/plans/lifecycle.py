@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions.rank import numbered
 from driftline.operators.scheduling import BRIDGED, LEGACY, NATIVE, RESOLVING
 
 
@@ -26,7 +27,7 @@ def resolve(view: DataFrame, overlay: DataFrame, frozen: int, version: int) -> D
 def claim(items: DataFrame, wanted: DataFrame, incarnation: int, expires: float) -> tuple[DataFrame, DataFrame]:
     """The items after claiming the wanted ones that are claimable, and their new leases (item_id, fence, expires)."""
     free = items.filter(F.col("state").isin(LEGACY, BRIDGED)).join(wanted.select("item_id").distinct(), "item_id", "left_semi").select("item_id")
-    leases = free.withColumn("fence", F.shiftleft(F.lit(incarnation).cast("bigint"), 40).bitwiseOR(F.row_number().over(Window.orderBy("item_id")).cast("bigint"))).withColumn("expires", F.lit(expires))
+    leases = numbered(free, [F.col("item_id")], "__n").withColumn("fence", F.shiftleft(F.lit(incarnation).cast("bigint"), 40).bitwiseOR(F.col("__n"))).drop("__n").withColumn("expires", F.lit(expires))
     mark = free.withColumn("__got", F.lit(True))
     after = items.join(mark, "item_id", "left").withColumn("state", F.when(F.col("__got"), RESOLVING).otherwise(F.col("state"))).drop("__got")
     return after, leases
@@ -54,7 +55,7 @@ def rotate(view: DataFrame) -> DataFrame:
 def insert(items: DataFrame, vectors: DataFrame, epoch: int) -> DataFrame:
     """New items get ids after the largest and are visible from the next epoch."""
     last = items.agg(F.coalesce(F.max("item_id"), F.lit(-1)).alias("last"))
-    new = vectors.withColumn("r", F.row_number().over(Window.orderBy("key"))).join(F.broadcast(last)).select((F.col("last") + F.col("r")).cast("bigint").alias("item_id"), F.lit(NATIVE).alias("state"), F.lit(False).alias("deleted"), F.lit(epoch + 1).alias("since"))
+    new = numbered(vectors, [F.col("key")], "r").join(F.broadcast(last)).select((F.col("last") + F.col("r")).cast("bigint").alias("item_id"), F.lit(NATIVE).alias("state"), F.lit(False).alias("deleted"), F.lit(epoch + 1).alias("since"))
     return items.unionByName(new)
 
 

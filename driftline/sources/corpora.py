@@ -7,12 +7,14 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions.rank import numbered
 
-def numbered(df: DataFrame, order: Column, into: str = "id") -> DataFrame:
-    return df.withColumn(into, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
+
+def positions(df: DataFrame, order: Column, into: str = "id") -> DataFrame:
+    return numbered(df, [order], into).withColumn(into, F.col(into) - 1)
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -23,7 +25,7 @@ def sampled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 def passages(spark: SparkSession, path: str, n: int) -> DataFrame:
     """(id, text, title, source) from (gzipped) TSV with a header id, text, title: a sample, renumbered."""
     raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"').select(F.col("id").alias("source"), "text", "title")
-    return numbered(sampled(raw, "source", n), F.col("source").cast("bigint")).select("id", F.concat_ws(". ", "title", "text").alias("text"), "title", "source")
+    return positions(sampled(raw, "source", n), F.col("source").cast("bigint")).select("id", F.concat_ws(". ", "title", "text").alias("text"), "title", "source")
 
 
 def first_column(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.functions import stats, vectors as V
+from driftline.functions import rank, stats, vectors as V
 from driftline.operators import graph, models, scheduling, search, workload
 from driftline.plans import lifecycle
 from driftline.sources import corpora, wal
@@ -266,3 +266,10 @@ def test_certify_in_sql(spark):
         number = lambda c: text(lambda r: "double('Infinity')" if math.isinf(r[c]) else f"{r[c]}D")
         got = spark.sql(f"SELECT * FROM certify({number('d')}, {text(lambda r: str(r['exact']))}, {number('w')}, {text(lambda r: str(r['item_id']))}, 4)").first()
         assert tuple(got) == naive_certificate(own, 4)
+
+
+def test_numbered(spark):
+    rows = spark.range(1000).withColumn("p", F.col("id") % 7)
+    got = rank.numbered(rows.repartition(5), [F.desc("p"), F.col("id")], "n").orderBy("n").collect()
+    assert [(r.n, r.id) for r in got] == [(i + 1, j) for i, j in enumerate(sorted(range(1000), key=lambda j: (-(j % 7), j)))]
+    assert rank.numbered(rows.limit(0), [F.col("id")], "n").count() == 0
