@@ -18,6 +18,8 @@ from .shared import checked, materialize, with_running_sum
 WEIGHTS, SHARE, MOST_TIMES = (5, 2, 1), 1.5, 2
 #: Words in a block, blocks in an output shard (on average), rows per chunk of a running sum.
 BLOCK, SHARD_SLOTS, CHUNK_ROWS, SEED = 64, 4096, 200_000, 11
+#: Shards whose counts are drawn together, after those of the groups; shards that one task deals at most.
+GROUP_SHARDS, TASK_SHARDS = 1024, 64
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -103,17 +105,32 @@ def drawn_blocks(targets: DataFrame, shards: int) -> DataFrame:
     """(sid, block, times, part): how often each block is drawn whole, and the words of a last, cut draw if any.
 
     Each source's slots are dealt to the output shards by a multinomial draw, so a shard's counts are multinomial
-    given the totals; a slot's number picks its block by the source's permutation for that pass over it.
+    given the totals; a slot's number picks its block by the source's permutation for that pass over it. The draw is
+    made for groups of shards and then within each group, which gives the same law and never holds all shards at once.
     """
+    each = GROUP_SHARDS
+    sizes = np.full(-(-shards // each), each)
+    sizes[-1] = shards - each * (len(sizes) - 1)
+
+    def rows(frame: pd.DataFrame, at: np.ndarray) -> Iterator[pd.DataFrame]:
+        for low in range(0, len(at), 100_000):
+            yield frame.iloc[at[low : low + 100_000]]
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for sid, size, target in zip(frame.sid, frame.source_size, frame.target, strict=True):
                 blocks, slots, last = slots_of(int(size), min(round(target), MOST_TIMES * int(size)), int(sid))
-                counts = np.random.default_rng([SEED, int(sid)]).multinomial(slots, np.full(shards, 1 / shards))
-                first = np.cumsum(counts) - counts
-                at = np.flatnonzero(counts)
-                yield pd.DataFrame({"sid": sid, "blocks": blocks, "slots": slots, "last": last, "shard": at, "first": first[at], "count": counts[at]})
+                counts = np.random.default_rng([SEED, int(sid)]).multinomial(slots, sizes / shards)
+                made = pd.DataFrame({"sid": sid, "blocks": blocks, "slots": slots, "last": last, "shards": np.arange(len(sizes)), "first": np.cumsum(counts) - counts, "count": counts})
+                yield from rows(made, np.flatnonzero(counts))
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                n = int(sizes[r.shards])
+                counts = np.random.default_rng([SEED, int(r.sid), int(r.shards) + 1]).multinomial(int(r.count), np.full(n, 1 / n))
+                made = pd.DataFrame({"sid": r.sid, "blocks": r.blocks, "slots": r.slots, "last": r.last, "shard": int(r.shards) * each + np.arange(n), "first": int(r.first) + np.cumsum(counts) - counts, "count": counts})
+                yield from rows(made, np.flatnonzero(counts))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -126,9 +143,13 @@ def drawn_blocks(targets: DataFrame, shards: int) -> DataFrame:
                         block[own] = permute(k[own] % r.blocks, int(r.blocks), _key(int(r.sid), int(epoch)))
                     yield pd.DataFrame({"sid": r.sid, "block": block, "words": np.where(k == r.slots - 1, r.last, BLOCK), "shard": r.shard})
 
-    dealt = targets.select("sid", "source_size", "target").mapInPandas(deal, "sid bigint, blocks bigint, slots bigint, last bigint, shard bigint, first bigint, count bigint")
-    tasks = max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 16)
-    slots = dealt.repartition(tasks, "shard").mapInPandas(place, "sid bigint, block bigint, words bigint, shard bigint")
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = "sid bigint, blocks bigint, slots bigint, last bigint, {} bigint, first bigint, count bigint"
+    groups = targets.select("sid", "source_size", "target").mapInPandas(deal, drawn.format("shards"))
+    if len(sizes) > 1:
+        groups = groups.repartition(parts, "shards")
+    dealt = groups.mapInPandas(split, drawn.format("shard"))
+    slots = dealt.repartition(max(parts, shards // TASK_SHARDS), "shard").mapInPandas(place, "sid bigint, block bigint, words bigint, shard bigint")
     whole = F.col("words") == BLOCK
     return slots.groupBy("sid", "block").agg(F.sum(whole.cast("int")).alias("times"), F.max(F.when(~whole, F.col("words"))).alias("part"))
 

@@ -249,6 +249,13 @@ def test_mixed_texts_hold_the_words_taken(docs):
     assert {k for k in got if k is not None} <= set(want)
 
 
+def test_draws_do_not_depend_on_groups_of_shards(spark, monkeypatch):
+    targets = spark.createDataFrame([("a", 0, 64_000, 96_000.0), ("b", 1, 777, 1554.0), ("c", 2, 50, 0.0)], "source string, sid bigint, source_size bigint, target double")
+    one = sorted(map(repr, mixing.drawn_blocks(targets, 1).collect()))
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
+    assert sorted(map(repr, mixing.drawn_blocks(targets, 10).collect())) == one and len(one) > 1000
+
+
 def test_mix_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
