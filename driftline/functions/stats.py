@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.rank import running_total
+
 INF = float("inf")
 
 
@@ -23,11 +25,10 @@ def conformal_quantiles(scores: DataFrame, keys: list[str], value: str, alpha: f
 def auroc(rows: DataFrame, positive: str, score: str) -> DataFrame:
     """One row, auroc: the rank sum with mid-ranks for ties; null unless both classes occur.
 
-    Ties and ranks come from counts per distinct score, so no task sees more than the distinct scores.
+    Ties come from counts per distinct score and ranks from running totals over ranges of the scores.
     """
     per = rows.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(positive).cast("bigint")).alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("mid", before + (F.col("n") + 1) / 2.0)
+    ranked = running_total(per, [F.col(score)], "n", "before").withColumn("mid", F.col("before") + (F.col("n") + 1) / 2.0)
     total = ranked.agg(F.sum(F.col("p") * F.col("mid")).alias("s"), F.sum("p").cast("double").alias("pos"), F.sum(F.col("n") - F.col("p")).cast("double").alias("neg"))
     return total.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), (F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auroc"))
 

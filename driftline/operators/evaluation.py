@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.rank import numbered
+
 SLACK = 1e-12
 
 
@@ -35,11 +37,20 @@ def ledger_totals(ledger: DataFrame) -> DataFrame:
     return per.select("category", F.round("seconds", 6).alias("seconds"), "cnt", F.round(F.col("seconds") / F.nullif(F.col("cnt"), F.lit(0)), 6).alias("per_item"), F.round(total, 6).alias("total"))
 
 
-def moving_bound(log: DataFrame, size: int, target: float) -> DataFrame:
-    """One row, seq: the first request at which the mean of the last ``size`` bounds (missing: 1) reaches the target."""
-    last = Window.orderBy("seq").rowsBetween(1 - size, 0)
-    moved = log.withColumns({"__n": F.count(F.lit(1)).over(last), "__mean": F.avg(F.coalesce("bound", F.lit(1.0))).over(last)})
-    return moved.filter((F.col("__n") == size) & (F.round("__mean", 9) >= target)).agg(F.min("seq").alias("seq"))
+def moving_bound(log: DataFrame, size: int, target: float, block: int = 100_000) -> DataFrame:
+    """One row, seq: the first request at which the mean of the last ``size`` bounds (missing: 1) reaches the target.
+
+    Requests are numbered by ranges and cut into blocks of at least ``size``; each block also holds the ``size`` - 1
+    requests before it, so blocks are judged apart.
+    """
+    block = max(block, size)
+    rows = numbered(log.select("seq", F.coalesce("bound", F.lit(1.0)).alias("v")), [F.col("seq")], "n")
+    own = F.floor((F.col("n") - 1) / block)
+    late = (F.col("n") - 1) % block > block - size
+    held = rows.withColumn("own", own).withColumn("block", F.explode(F.when(late, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    mean = F.avg("v").over(Window.partitionBy("block").orderBy("n").rowsBetween(1 - size, 0))
+    moved = held.withColumn("mean", mean).filter((F.col("block") == F.col("own")) & (F.col("n") >= size))
+    return moved.filter(F.round("mean", 9) >= target).agg(F.min("seq").alias("seq"))
 
 
 def distinct_wait(log: DataFrame) -> DataFrame:
@@ -69,3 +80,35 @@ def coverage(errors: DataFrame, radii: DataFrame) -> DataFrame:
     """(alpha, coverage, width): held-out errors (region, err, d_star) within the radii (region, alpha, eps)."""
     both = errors.join(radii, "region")
     return both.groupBy("alpha").agg(F.round(F.avg((F.col("err") <= F.col("eps")).cast("double")), 6).alias("coverage"), F.round(F.avg(F.when(F.col("eps") < float("inf"), F.col("eps") / F.col("d_star"))), 6).alias("width"))
+
+
+def mean_confidence(items: DataFrame) -> DataFrame:
+    """One row, confidence: the mean over items (native, confidence), where native vectors count 1."""
+    return items.agg(F.round(F.avg(F.when(F.col("native"), 1.0).otherwise(F.col("confidence"))), 6).alias("confidence"))
+
+
+def storage_peak(files: DataFrame) -> DataFrame:
+    """One row, peak: the largest total size of the files (sample, bytes) of one sample."""
+    return files.groupBy("sample").agg(F.sum("bytes").alias("used")).agg(F.round(F.max("used"), 6).alias("peak"))
+
+
+def budget_table(curves: DataFrame, at: float, targets: list[float]) -> DataFrame:
+    """Per method of (method, budget, value): the value at a budget and the budgets that first reach each target.
+
+    Both are linear between points and skip missing values; beyond the ends the curve is flat, and a target that is
+    never reached, or a curve of one point, gives null.
+    """
+    curves = curves.filter(F.col("value").isNotNull())
+    w = Window.partitionBy("method").orderBy("budget")
+    pair = curves.withColumns({"b1": F.lead("budget").over(w), "v1": F.lead("value").over(w)})
+    slope = (F.col("b1") - F.col("budget")) / F.nullif(F.col("v1") - F.col("value"), F.lit(0.0))
+    inside = F.when((F.col("budget") <= at) & (F.col("b1") > at), F.col("value") + (F.lit(at) - F.col("budget")) / F.nullif(F.col("b1") - F.col("budget"), F.lit(0.0)) * (F.col("v1") - F.col("value")))
+    flat = F.when(F.lit(at) < F.min("budget"), F.min_by("value", "budget")).when(F.lit(at) >= F.max("budget"), F.max_by("value", "budget"))
+    reach = [F.round(F.when(F.count(F.lit(1)) > 1, F.min(F.when(F.col("value") >= t, F.col("budget")).when(F.col("v1") >= t, F.col("budget") + (F.lit(t) - F.col("value")) * slope))), 6).alias(f"to_{round(t * 1000):04d}") for t in targets]
+    return pair.groupBy("method").agg(F.round(F.coalesce(flat, F.max(inside)), 6).alias("value_at"), *reach)
+
+
+def reembed_cost(ledger: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: encoding seconds per item from (seconds, cnt), and the seconds that all items would take."""
+    per = ledger.agg((F.sum("seconds") / F.nullif(F.sum("cnt"), F.lit(0))).alias("per_item"))
+    return items.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(per)).select("n", F.round("per_item", 6).alias("per_item"), F.round(F.col("n") * F.col("per_item"), 3).alias("seconds"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.rank import running_total
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -140,3 +142,9 @@ def levels(items: DataFrame, degree: int, top: int = 16) -> DataFrame:
     """(item_id, level): the highest layer of each item, floor(-ln(u) / ln(degree)) for u in (0, 1] from its id."""
     u = ((F.col("item_id") * 7919 + 104729) % 1009 + 1) / F.lit(1009.0)
     return items.select("item_id", F.least(F.lit(top), F.floor(-F.log(u) / F.log(F.lit(float(degree)))).cast("int")).alias("level"))
+
+
+def list_encoding(lists: DataFrame) -> DataFrame:
+    """(src, offset, n) from (src, nbrs): where each list begins when all follow one another in the order of src."""
+    sized = lists.select("src", F.size("nbrs").cast("bigint").alias("n"))
+    return running_total(sized, [F.col("src")], "n", "offset").select("src", "offset", "n")

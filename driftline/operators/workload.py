@@ -65,3 +65,32 @@ def probe_window(stream: DataFrame, at: int, size: int) -> DataFrame:
     n = stream.agg(F.count(F.lit(1)).alias("n"))
     wanted = spark.range(size).select(F.col("id").alias("j")).join(F.broadcast(n)).withColumn("pos", (F.col("j") + at) % F.col("n"))
     return wanted.join(stream, "pos").select("j", "query")
+
+
+def region_heat(items: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, heat): the heat of each region's items (region, heat); regions without items have 0."""
+    summed = items.groupBy("region").agg(F.sum("heat").alias("heat"))
+    return regions.select("region").join(summed, "region", "left").select("region", F.coalesce("heat", F.lit(0)).alias("heat"))
+
+
+def cold_regions(heat: DataFrame, share: float = 0.1) -> DataFrame:
+    """(region, heat): the coldest ``share`` of the regions, at least one; ties go to the smaller region."""
+    ranked = numbered(heat, [F.col("heat"), F.col("region")], "__r")
+    n = heat.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(share))).alias("__n"))
+    return ranked.join(F.broadcast(n)).filter("__r <= __n").select("region", "heat")
+
+
+def last_by_key(rows: DataFrame) -> DataFrame:
+    """(key, first, value) from (key, seq, value): each key's last value and the place where it first came."""
+    return rows.groupBy("key").agg(F.min("seq").alias("first"), F.max_by("value", "seq").alias("value"))
+
+
+def calibration_sample(requests: DataFrame, seen: DataFrame, most: int, seed: int) -> DataFrame:
+    """(key): up to ``most`` distinct keys of the requests that ``seen`` lacks, in a pseudorandom order by a hash."""
+    fresh = requests.select("key").distinct().join(seen.select("key").distinct(), "key", "left_anti")
+    return fresh.orderBy(shuffled(F.col("key"), seed), "key").limit(most)
+
+
+def nearest_titles(nearest: DataFrame, titles: DataFrame, rare: DataFrame) -> DataFrame:
+    """(qid, title): queries whose nearest item (qid, item_id) bears one of the rare titles."""
+    return nearest.join(titles, "item_id").join(rare.select("title"), "title", "left_semi").select("qid", "title")

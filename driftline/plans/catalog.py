@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import stats, vectors as V
+from driftline.functions.rank import shared_dir
 from driftline.operators import calibration, evaluation, graph, models, scheduling, search, workload
 from driftline.plans import lifecycle
 from driftline.session import table
@@ -602,6 +604,154 @@ def retire(b):
     return exact.select("item_id", F.round(F.col("vec")[0], 6).alias("first_part"))
 
 
+# ---------------------------------------------------------------- further operators
+
+
+@query("SELECT l.region, coalesce(sum(item_id % 17) FILTER (item_id % 10 < 3), 0) AS heat FROM x l GROUP BY l.region")
+def region_heat(b):
+    hot = b.items.filter("item_id % 10 < 3").select("region", (F.col("item_id") % 17).alias("heat"))
+    return workload.region_heat(hot, b.items.select("region").distinct())
+
+
+@query("WITH h AS (SELECT user_id AS region, sum(event_id % 17) AS heat FROM events GROUP BY 1) SELECT region, heat FROM (SELECT *, row_number() OVER (ORDER BY heat, region) AS r, count(*) OVER () AS n FROM h) WHERE r <= greatest(1, n // 10)")
+def cold_regions(b):
+    return workload.cold_regions(b.events.groupBy(F.col("user_id").alias("region")).agg(F.sum(F.col("event_id") % 17).alias("heat")))
+
+
+@query("SELECT user_id AS key, min(event_id) AS first, max_by(value, event_id) AS value FROM events GROUP BY 1")
+def last_by_key(b):
+    return workload.last_by_key(b.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "value"))
+
+
+@query("SELECT key FROM (SELECT DISTINCT user_id AS key FROM events WHERE user_id NOT IN (SELECT c_custkey * 3 FROM customer)) ORDER BY ((key * 7919 + 7 * 104729) % 1009) / 1009.0::DOUBLE, key LIMIT 512")
+def calibration_sample(b):
+    seen = table(b.spark, b.dir, "customer").select((F.col("c_custkey") * 3).alias("key"))
+    return workload.calibration_sample(b.events.select(F.col("user_id").alias("key")), seen, 512, 7)
+
+
+@query("WITH t AS (SELECT item_id, item_id % 37 + item_id % 5 AS title FROM x), n AS (SELECT title, count(*) AS n FROM t GROUP BY title), k AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS total FROM n), near AS (SELECT qid, item_id FROM (SELECT qid, item_id, row_number() OVER (PARTITION BY qid ORDER BY d_star, item_id) AS r FROM pd) WHERE r <= 10) SELECT qid, title FROM near JOIN t USING (item_id) JOIN n USING (title) WHERE n.n <= (SELECT n FROM k WHERE i = floor(0.1::DOUBLE * (total - 1)))")
+def nearest_titles(b):
+    titles = b.items.select("item_id", (F.col("item_id") % 37 + F.col("item_id") % 5).alias("title"))
+    return workload.nearest_titles(_truth(b), titles, workload.rare_entities(titles, "title"))
+
+
+@query("SELECT state, deleted, count(*) AS n FROM states GROUP BY state, deleted")
+def state_counts(b):
+    return b.states.groupBy("state", "deleted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id AS item_id, count(*) AS encoded FROM events GROUP BY 1")
+def embed_counts(b):
+    return b.events.groupBy(F.col("user_id").alias("item_id")).agg(F.count(F.lit(1)).alias("encoded"))
+
+
+@query("SELECT count(*) AS edges FROM edges")
+def edge_count(b):
+    return scheduling.in_degree(b.edges, b.edges.select(F.col("dst").alias("item_id")).distinct()).agg(F.sum("deg").alias("edges"))
+
+
+@query("SELECT item_id, (3::BIGINT << 40) | item_id AS fence FROM x")
+def fence_compose(b):
+    return b.items.select("item_id", V.fence(F.lit(3), F.col("item_id")).alias("fence"))
+
+
+@query("SELECT qid, item_id, round(CASE WHEN isinf(eps) THEN 0 WHEN eps > 0 THEN abs(d - d_star) / eps WHEN d <> d_star THEN 'infinity'::DOUBLE ELSE 0 END, 6) AS error FROM cand")
+def normalized_errors(b):
+    return b.candidates.select("qid", "item_id", F.round(V.normalized_error(F.col("d"), F.col("d_star"), F.col("eps")), 6).alias("error"))
+
+
+@query("SELECT item_id, round(s * 0.5::DOUBLE + t + 0.25::DOUBLE, 6) AS u0, round(s - t + 0.5::DOUBLE, 6) AS u1 FROM (SELECT item_id, list_sum(list_transform(range(64), lambda j: old[j + 1] * (j % 3))) AS s, list_sum(list_transform(range(64), lambda j: old[j + 1] * (j % 5))) AS t FROM x)")
+def bridge_low_rank(b):
+    down = F.lit([[float(j % 3) for j in range(WIDTH)], [float(j % 5) for j in range(WIDTH)]])
+    out = b.items.select("item_id", V.low_rank(F.col("old"), down, F.lit([[0.5, 1.0], [1.0, -1.0]]), F.lit([0.25, 0.5])).alias("u"))
+    return out.select("item_id", F.round(F.col("u")[0], 6).alias("u0"), F.round(F.col("u")[1], 6).alias("u1"))
+
+
+@query("WITH i AS (SELECT qid, d, item_id, r, CASE WHEN exact THEN d WHEN isinf(eps) THEN 0 ELSE greatest(0, d - eps) END AS lb, CASE WHEN exact THEN d ELSE d + eps END AS ub FROM cand), j AS (SELECT *, min(CASE WHEN r > 10 THEN lb END) OVER (PARTITION BY qid) AS edge FROM i) SELECT qid, count(*) FILTER (r <= 10 AND ub < edge) / 10.0::DOUBLE AS bound FROM j GROUP BY qid")
+def certify_count_m(b):
+    return search.certify(b.candidates.withColumn("w", F.col("eps")), K).select("qid", (F.col("m") / float(K)).alias("bound"))
+
+
+@query("WITH ranked AS (SELECT region, err, row_number() OVER (PARTITION BY region ORDER BY err) AS r, count(*) OVER (PARTITION BY region) AS n FROM ce), wide AS (SELECT alpha, region, coalesce(min(CASE WHEN r = ceil((1 - alpha) * (n + 1)) THEN err END), 'infinity'::DOUBLE) AS eps FROM ranked, (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) v(alpha) GROUP BY alpha, region) SELECT alpha, round(avg((err <= eps)::INT), 6) AS coverage, round(avg(CASE WHEN NOT isinf(eps) THEN eps / held.d_star END), 6) AS width FROM (SELECT region, round(abs(round(list_distance(qvec, mapped), 6) - round(list_distance(qvec, new), 6)), 6) AS err, round(list_distance(qvec, new), 6) AS d_star FROM c JOIN q ON q.qid = c.item_id - c.item_id % 100 AND q.qid <> c.item_id WHERE c.item_id % 3 = 0) held JOIN wide USING (region) GROUP BY alpha")
+def coverage_sweep(b):
+    held = b.paired(b.corpus.filter(F.col("item_id") % 3 == 0)).withColumn("d_star", V.l2(F.col("qvec"), F.col("new")))
+    errors = held.select("region", "d_star", F.round(F.abs(V.l2(F.col("qvec"), F.col("mapped")) - F.col("d_star")), 6).alias("err"))
+    regions = b.items.select("region").distinct()
+    each = [calibration.region_radii(b.pairs, regions, a).select("region", F.lit(a).alias("alpha"), "eps") for a in (0.01, 0.05, 0.1)]
+    return evaluation.coverage(errors, each[0].unionByName(each[1]).unionByName(each[2]))
+
+
+@query("SELECT item_id, region, row_number() OVER (ORDER BY region, k) AS pos FROM (SELECT item_id, region, row_number() OVER (ORDER BY heat DESC, eps DESC, item_id) AS k FROM states WHERE state IN (0, 1) AND NOT deleted) WHERE k <= 64")
+def scheduler_pick_heat(b):
+    return scheduling.pick(b.states, 64, "heat")
+
+
+@query("SELECT item_id, region, row_number() OVER (ORDER BY region, k) AS pos FROM (SELECT item_id, region, row_number() OVER (ORDER BY ((item_id * 7919 + 9 * 104729) % 1009) / 1009.0::DOUBLE DESC, eps DESC, item_id) AS k FROM states WHERE state IN (0, 1) AND NOT deleted) WHERE k <= 64")
+def scheduler_pick_random(b):
+    return scheduling.pick(b.states.withColumn("noise", workload.shuffled(F.col("item_id"), 9)), 64, "random")
+
+
+@query("SELECT round(avg(CASE WHEN native THEN 1 ELSE (item_id % 7) / 10.0::DOUBLE END), 6) AS confidence FROM x")
+def mean_confidence(b):
+    return evaluation.mean_confidence(b.items.select("native", ((F.col("item_id") % 7) / 10.0).alias("confidence")))
+
+
+@query("SELECT round(max(used), 6) AS peak FROM (SELECT event_id // 100 AS sample, sum(value) AS used FROM events GROUP BY 1)")
+def storage_peak(b):
+    return evaluation.storage_peak(b.events.select(F.floor(F.col("event_id") / 100).alias("sample"), F.col("value").alias("bytes")))
+
+
+@query("WITH p AS (SELECT user_id % 5 AS method, event_id / 100.0::DOUBLE AS budget, 1 - 1 / (1 + event_id / (50.0::DOUBLE * (1 + user_id % 5))) AS value FROM events), w AS (SELECT *, lead(budget) OVER s AS b1, lead(value) OVER s AS v1 FROM p WINDOW s AS (PARTITION BY method ORDER BY budget)) SELECT method, round(CASE WHEN 2.5 < min(budget) THEN min_by(value, budget) WHEN 2.5 >= max(budget) THEN max_by(value, budget) ELSE max(CASE WHEN budget <= 2.5 AND b1 > 2.5 THEN value + (2.5::DOUBLE - budget) / (b1 - budget) * (v1 - value) END) END, 6) AS value_at, round(min(CASE WHEN value >= 0.6 THEN budget WHEN v1 >= 0.6 THEN budget + (0.6::DOUBLE - value) / (v1 - value) * (b1 - budget) END), 6) AS to_0600, round(min(CASE WHEN value >= 0.999 THEN budget WHEN v1 >= 0.999 THEN budget + (0.999::DOUBLE - value) / (v1 - value) * (b1 - budget) END), 6) AS to_0999 FROM w GROUP BY method")
+def budget_table(b):
+    i, m = F.col("event_id"), F.col("user_id") % 5
+    return evaluation.budget_table(b.events.select(m.alias("method"), (i / 100.0).alias("budget"), (1 - 1 / (1 + i / (50.0 * (1 + m)))).alias("value")), 2.5, [0.6, 0.999])
+
+
+@query("SELECT count(*) AS n, (SELECT round(sum(value) / sum(event_id % 5), 6) FROM events) AS per_item, round(count(*) * (SELECT sum(value) / sum(event_id % 5) FROM events), 3) AS seconds FROM x")
+def reembed_cost(b):
+    return evaluation.reembed_cost(b.events.select(F.col("value").alias("seconds"), (F.col("event_id") % 5).alias("cnt")), b.items)
+
+
+@query("SELECT src, dst FROM edges WHERE src % 4 <> 1 UNION ALL SELECT src, (dst + 1) % 400 AS dst FROM edges WHERE src % 4 = 1")
+def apply_staged_edges(b):
+    lists = lambda e, dst: e.groupBy("src").agg(F.collect_list(dst).alias("nbrs"))
+    staged = lists(b.edges.filter("src % 4 = 1"), (F.col("dst") + 1) % 400)
+    return graph.apply_staged(lists(b.edges, F.col("dst")), staged).select("src", F.explode("nbrs").alias("dst"))
+
+
+@query("SELECT src, coalesce(sum(n) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", n FROM (SELECT src, count(*) AS n FROM edges GROUP BY src)")
+def list_encoding(b):
+    return graph.list_encoding(b.edges.groupBy("src").agg(F.collect_list("dst").alias("nbrs")))
+
+
+@query(f"WITH {_RECORDS} SELECT gen, max(start + cnt * 24) AS size FROM l WHERE kind = 'native' GROUP BY gen")
+def native_sizes(b):
+    return wal.published_size(_records(b).filter("kind = 'native'").withColumn("record_size", F.lit(24)))
+
+
+@query("SELECT item_id, item_id // 128 AS segment, round(new[1], 6) AS first_part FROM x WHERE item_id // 128 IN (0, 2)")
+def segment_scan(b):
+    path = f"{shared_dir(b.spark)}/driftline-segments-{uuid.uuid4().hex}"
+    corpora.write_segments(b.items.select("item_id", F.col("new").alias("vec")), path, 128)
+    return corpora.read_segments(b.spark, path, [0, 2]).select("item_id", F.col("segment").cast("bigint").alias("segment"), F.round(F.col("vec")[0], 6).alias("first_part"))
+
+
+@query("SELECT qid, item_id, d, r FROM (SELECT qid, item_id, d_star AS d, row_number() OVER (PARTITION BY qid ORDER BY d_star, item_id) AS r FROM pd WHERE item_id % 11 <> 0) WHERE r <= 10")
+def search_without_deleted(b):
+    return b.nearest(F.col("new"), K, lifecycle.delete(b.items.withColumns({"state": F.lit(0), "deleted": F.lit(False)}), b.items.filter("item_id % 11 = 0")).filter("NOT deleted"))
+
+
+@query("SELECT DISTINCT item_id FROM cand WHERE NOT exact")
+def missing_exact(b):
+    return b.candidates.filter("NOT exact").select("item_id").distinct()
+
+
+@query("SELECT doc_id, 'passage: ' || trim(text, ' \n\t') AS passage FROM documents WHERE trim(text, ' \n\t') <> ''")
+def prefixed_passages(b):
+    body = F.btrim(F.col("text"), F.lit(" \n\t"))
+    return table(b.spark, b.dir, "documents").filter(body != "").select("doc_id", F.concat(F.lit("passage: "), body).alias("passage"))
+
+
 # ---------------------------------------------------------------- fitted models (not SQL)
 
 

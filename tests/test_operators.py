@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import rank, stats, vectors as V
-from driftline.operators import graph, models, scheduling, search, workload
+from driftline.operators import evaluation, graph, models, scheduling, search, workload
 from driftline.plans import lifecycle
 from driftline.sources import corpora, wal
 from driftline.streaming import state
@@ -273,3 +273,23 @@ def test_numbered(spark):
     got = rank.numbered(rows.repartition(5), [F.desc("p"), F.col("id")], "n").orderBy("n").collect()
     assert [(r.n, r.id) for r in got] == [(i + 1, j) for i, j in enumerate(sorted(range(1000), key=lambda j: (-(j % 7), j)))]
     assert rank.numbered(rows.limit(0), [F.col("id")], "n").count() == 0
+
+
+def test_running_total_and_blocks(spark):
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("k"), (F.col("id") % 5).alias("v"))
+    want, total = {}, 0
+    for r in sorted(rows.collect()):
+        want[r.k] = total
+        total += r.v
+    assert {r.k: r.at for r in rank.running_total(rows.repartition(5), [F.col("k")], "v", "at").collect()} == want
+    log = spark.range(1, 1001).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 > 0, (F.col("id") * 7 % 11) / 10.0 * F.col("id") / 1000).alias("bound"))
+    values = [1.0 if r.bound is None else r.bound for r in log.orderBy("seq").collect()]
+    for size, target in ((20, 0.7), (1, 1.0), (300, 0.55), (20, 9.0)):
+        hit = next((i + 1 for i in range(size - 1, 1000) if round(np.mean(values[i + 1 - size : i + 1]), 9) >= target), None)
+        assert evaluation.moving_bound(log.repartition(3), size, target, 25).first().seq == hit
+
+
+def test_budget_table(spark):
+    rows = [("a", 0.0, 0.2), ("a", 1.0, 0.6), ("a", 2.0, None), ("a", 3.0, 1.0), ("b", 1.0, 0.9)]
+    got = {r.method: tuple(r)[1:] for r in evaluation.budget_table(spark.createDataFrame(rows, "method string, budget double, value double"), 0.5, [0.8, 2.0]).collect()}
+    assert got == {"a": (0.4, 2.0, None), "b": (0.9, None, None)}
