@@ -157,10 +157,14 @@ def search(points: np.ndarray, members: list[np.ndarray], layers: list[np.ndarra
     return beam(points, layers[-1], queries, start, width)[0]
 
 
-def _flat(v: np.ndarray, radius: float) -> np.ndarray:
-    """Vectors with a further component that makes all as long, so that the largest product is the least distance."""
+def _flat(v: np.ndarray) -> np.ndarray:
+    """Vectors with a further component that makes all as long, so that the largest product is the least distance.
+
+    All are divided by the largest component first, which keeps the order of products and any size within float range.
+    """
+    v = v / np.abs(v).max()
     sq = (v * v).sum(1)
-    return np.c_[v, np.sqrt(np.maximum(radius - sq, 0))].astype(np.float32)
+    return np.c_[v, np.sqrt(np.maximum(sq.max() - sq, 0))].astype(np.float32)
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -184,7 +188,7 @@ def build_index(rows: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
         v = np.stack(frame.v.to_numpy()).astype(np.float64)
         order = np.lexsort(v.T[::-1])
         v, ids = v[order], [frame.ids.iloc[i] for i in order]
-        members, layers = build(_flat(v, float((v * v).sum(1).max())))
+        members, layers = build(_flat(v))
         parts = [*members, *(x.ravel() for x in layers)]
         return pd.DataFrame([{"dim": v.shape[1], "shard": frame.shard.iloc[0], "v": v.tobytes(), "ids": np.concatenate(ids).astype(np.int64).tobytes(), "counts": np.array([len(i) for i in ids], np.int32).tobytes(), "layers": len(layers), "sizes": np.array([len(p) for p in parts], np.int64).tobytes(), "links": np.concatenate(parts).astype(np.int32).tobytes()}])
 
@@ -210,12 +214,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEAR
             parts = np.split(np.frombuffer(g.links, np.int32).astype(np.int64), np.cumsum(np.frombuffer(g.sizes, np.int64))[:-1])
             members, flat = parts[: g.layers - 1], parts[g.layers - 1 :]
             layers = [x.reshape(-1, LOW if i == g.layers - 1 else HIGH) for i, x in enumerate(flat)]
-            points = _flat(v, float((v * v).sum(1).max()))
+            points = _flat(v)
             for a in range(0, len(asked), BATCH):
                 some = asked.iloc[a : a + BATCH]
                 q = np.stack(some.v.to_numpy()).astype(np.float64)
-                scale = np.sqrt((q * q).sum(1, keepdims=True))
-                found = search(points, members, layers, np.c_[q / scale, np.zeros(len(q))].astype(np.float32), width)
+                even = q / np.abs(q).max(axis=1, keepdims=True)
+                even /= np.sqrt((even * even).sum(1, keepdims=True))
+                found = search(points, members, layers, np.c_[even, np.zeros(len(q))].astype(np.float32), width)
                 for own, vec, row in zip(some.id, q, found, strict=True):
                     row = row[row >= 0]
                     score = np.einsum("ij,j->i", v[row], vec)
