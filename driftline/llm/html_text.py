@@ -21,8 +21,12 @@ IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)),
     "tr": (("td", "th", "tr", "caption", "colgroup"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)), "thead": (("caption", "colgroup"), ("table",)), "tfoot": (("td", "th", "tr", "thead", "tbody", "caption"), ("table",)),
 }
+ROWS = frozenset("caption tr td th".split())
 SCOPES = frozenset("table td th caption button object template html body".split())
 
+#: Tables nested deeper than this are laid out as plain blocks.
+TABLE_DEPTH = 50
+
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
@@ -145,7 +149,7 @@ class Lines:
         self.gap = max(self.gap, gap)
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, depth: int) -> list[str]:
     """Rows of a table as lines, cells padded to the width of their column; a cell's lines are joined by a space."""
     rows: list[list[str]] = []
     notes: list[str] = []
@@ -164,14 +168,14 @@ def _table(node: Node) -> list[str]:
                         if x.strip():
                             notes.append(_BLANK.sub(" ", x).strip())
                     elif not x.hidden:
-                        cells.append(" ".join(line.strip() for line in lay_out(x) if line.strip()))
+                        cells.append(" ".join(line.strip() for line in lay_out(x, depth) if line.strip()))
                 rows.append(cells)
             elif c.tag in ("tbody", "thead", "tfoot"):
                 walk(c)
             elif c.tag in ("td", "th"):
-                rows.append([" ".join(line.strip() for line in lay_out(c) if line.strip())])
+                rows.append([" ".join(line.strip() for line in lay_out(c, depth) if line.strip())])
             else:
-                notes.extend(line for line in lay_out(c) if line)
+                notes.extend(line for line in lay_out(c, depth) if line)
 
     walk(node)
     rows = [r for r in rows if any(r)]
@@ -179,8 +183,9 @@ def _table(node: Node) -> list[str]:
     return notes + ["  ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip() for r in rows]
 
 
-def lay_out(root: Node) -> list[str]:
-    """The visible text of a tree as lines. The walk keeps its own stack, so depth is not limited."""
+def lay_out(root: Node, depth: int = 0) -> list[str]:
+    """The visible text of a tree as lines. The walk keeps its own stack, so depth is not limited; ``depth`` counts the
+    tables around ``root``."""
     out = Lines()
     todo: list[tuple] = [("open", root, False, [])]
     while todo:
@@ -192,7 +197,7 @@ def lay_out(root: Node) -> list[str]:
             if node.tag in ("li", "dd", "blockquote"):
                 out.end()
                 out.prefix = keep
-            if node.tag in BLOCKS:
+            if node.tag in BLOCKS or node.tag in ROWS:
                 out.block(int(node.tag in SPACED and not (lists and node.tag in ("ul", "ol"))))
             continue
         if node.hidden:
@@ -207,14 +212,14 @@ def lay_out(root: Node) -> list[str]:
         elif tag == "img":
             if node.attributes.get("alt"):
                 out.text(f" {node.attributes['alt']} ", False)
-        elif tag == "table" and node is not root:
+        elif tag == "table" and node is not root and depth < TABLE_DEPTH:
             out.block(1)
-            for line in _table(node):
+            for line in _table(node, depth + 1):
                 out.put(line)
                 out.end()
             out.block(1)
         else:
-            if tag in BLOCKS:
+            if tag in BLOCKS or tag in ROWS:
                 out.block(int(tag in SPACED and not (lists and tag in ("ul", "ol"))))
             before = out.prefix
             if tag == "li":

@@ -89,6 +89,17 @@ def test_nearest_small_and_odd(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_extreme_lengths(spark):
+    v = np.random.default_rng(3).normal(size=(100, 8))
+    want = {q: np.lexsort((np.arange(100), -np.where(np.arange(100) == q, -np.inf, v @ v[q])))[:20].tolist() for q in range(0, 100, 20)}
+    for scale in (1e120, 1e-120):
+        df = spark.createDataFrame([(i, (x * scale).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert sum(len(set(got[q]) & set(w)) for q, w in want.items()) >= 97
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(3000, 32)) * rng.uniform(0.5, 2, size=(3000, 1))
@@ -134,6 +145,8 @@ def test_html_rendering():
     assert html_text.render("<div>" * 5000 + "deep") == "deep"
     assert html_text.render("a < b <3 <unclosed") == "a < b <3"
     assert html_text.render("x" * 10**6) == "x" * 10**6
+    nested = html_text.render("<table><tr><td>cell" * 2000).split()
+    assert nested == ["cell"] * 2000
 
 
 def test_html_rows(spark):
