@@ -58,6 +58,29 @@ def test_templates_match_themselves(spark):
     assert all(got[i].license == n and got[i].score == pytest.approx(1, abs=1e-6) for i, n in enumerate(names))
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_long_license_files_pass_their_license_on(spark):
+    long, gpl = "word " * 100, "\n".join(" ".join([t] * int(n)) for n, ts in (g.split(":") for g in licenses.FULL["GPL-2.0"].split(";")) for t in ts.split(" "))
+    notice = f"{long}\nLicensed under the Apache License, Version 2.0.\n{long}"
+    rows = [(1, "The MIT License\n\nCopyright (c) 2020 Some One\n\n" + MIT_TEXT, "m/LICENSE"), (2, long, "m/src/a.py"), (3, gpl, "g/17"), (4, long, "g/a/b"), (5, notice, "n/COPYING.txt"), (6, long, "n/x"), (7, notice, "o/license_check.py"), (8, long, "o/x")]
+    got = {r.doc_id: (r.license, r.found) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), "doc_id", "path").collect()}
+    assert got == {1: ("MIT", "header"), 2: ("MIT", "inherited"), 3: ("GPL-2.0", "header"), 4: ("GPL-2.0", "inherited"), 5: ("Apache-2.0", "header"), 6: ("Apache-2.0", "inherited"), 7: ("Apache-2.0", "header"), 8: (None, "none")}
+
+
 def brute_nearest(rows, every, k):
     fine = {}
     for i, v in rows:
