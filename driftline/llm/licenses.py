@@ -18,8 +18,6 @@ from .shared import checked, materialize
 #: Least cosine of a match; a text of at most FILE_WORDS words that holds a match is a licence file of its directory, and
 #: so is, at any length, one that matches a full licence text as a whole or has a licence file's name and holds a match.
 LEAST_COSINE, FILE_WORDS = 0.6, 60
-#: Lines worth comparing.
-HINT = re.compile(r"(?i)licen[sc]|copyright|spdx|permission is hereby|redistribution and use|public domain|all rights reserved")
 #: Names of licence files, but for those of source and data files.
 FILE_NAME, CODE_NAME = r"(?i)(?:^|/)(?:licen[cs]es?|copying|notice)(?:[-_. ][^/]*)?$", r"(?i)\.(?:pyi?|c|cc|cpp|cs|h|hpp|java|kt|m?js|tsx?|go|rs|rb|sh|php|swift|scala|json|ya?ml|xml|css)$"
 # The usual notices of common licences.
@@ -42,6 +40,8 @@ _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _COUNTED = [(name, False, Counter(_TERM.findall(t.lower()))) for name, texts in TEMPLATES.items() for t in texts]
 _COUNTED += [(name, True, Counter({t: int(n) for n, ts in (g.split(":") for g in groups.split(";")) for t in ts.split(" ")})) for name, groups in FULL.items()]
 _VOCABULARY = sorted({t for *_, c in _COUNTED for t in c})
+#: Words of the longest run of lines that is compared beside single lines and whole blocks.
+RUN_WORDS = 2 * max(sum(c.values()) for _, full, c in _COUNTED if not full)
 
 
 class Scorer:
@@ -88,15 +88,48 @@ class Scorer:
         own = [(round(float(x), 9), self.names[k]) for x, k in zip(found.max(0), which, strict=True)]
         return max([x for x in own if x[0] >= LEAST_COSINE] + ([best] if best else []), default=None)
 
+    def runs(self, block: list[list[str]], which: np.ndarray) -> tuple[float, str] | None:
+        """The best match among the runs of a block's lines: single lines, runs of at most RUN_WORDS words, the whole."""
+        size = np.cumsum([0, *map(len, block)])
+        best, first = None, 0
+        while first < len(block):
+            # Each run that begins in the first RUN_WORDS words of a span lies in the span.
+            after = max(first + 1, int(np.searchsorted(size, size[first] + RUN_WORDS, side="right")) - 1)
+            last = max(after, int(np.searchsorted(size, size[after - 1] + RUN_WORDS, side="right")) - 1)
+            span = block[first:last]
+            terms = {t: i for i, t in enumerate(dict.fromkeys(t for line in span for t in line))}
+            some = np.flatnonzero(which & self.possible(set(terms)))
+            if len(some):
+                counts = np.zeros((len(span) + 1, len(terms)))
+                for i, line in enumerate(span):
+                    for t in line:
+                        counts[i + 1, terms[t]] += 1
+                sums = counts.cumsum(0)
+                for i in range(after - first):
+                    stop = max(i + 1, int(np.searchsorted(size, size[first + i] + RUN_WORDS, side="right")) - 1 - first)
+                    best = self.better(best, self.cosines(list(terms), sums[i + 1 : stop + 1] - sums[i], some), some)
+            first = after
+        if size[-1] > RUN_WORDS:
+            best = max(filter(None, (best, self.top([[t for line in block for t in line]], which))), default=None)
+        return best
+
     def match(self, text: str) -> tuple[float, str, bool] | None:
-        """The best (score, license, as a whole) of a text: whole against full licence texts, and hinted
-        lines against notices."""
+        """The best (score, license, as a whole) of a text: whole against full licence texts, and runs of lines of its
+        blocks (lines without a term stand between blocks) against notices."""
         text = text.lower()
         which = self.possible(set(_TERM.findall(text)))
         if not which.any():
             return None
-        whole = self.top([_TERM.findall(text)], which & self.full)
-        best = self.top([_TERM.findall(x) for x in text.split("\n") if HINT.search(x)], which & ~self.full)
+        lines = [_TERM.findall(x) for x in text.split("\n")]
+        whole = self.top([[t for line in lines for t in line]], which & self.full)
+        best, block, which = None, [], which & ~self.full
+        if which.any():
+            for line in [*lines, []]:
+                if line:
+                    block.append(line)
+                elif block:
+                    best = max(filter(None, (best, self.runs(block, which))), default=None)
+                    block = []
         found = max(filter(None, (best, whole)), default=None)
         return found and (*found, whole is not None and found[1] == whole[1])
 

@@ -81,6 +81,28 @@ def test_long_license_files_pass_their_license_on(spark):
     assert got == {1: ("MIT", "header"), 2: ("MIT", "inherited"), 3: ("GPL-2.0", "header"), 4: ("GPL-2.0", "inherited"), 5: ("Apache-2.0", "header"), 6: ("Apache-2.0", "inherited"), 7: ("Apache-2.0", "header"), 8: (None, "none")}
 
 
+def test_wrapped_license_headers(spark):
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this", "file, You can obtain one at http://mozilla.org/MPL/2.0/."]
+    gpl = ["This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation; either version {} of the License, or", "(at your option) any later version."]
+    head = lambda lines, mark, v="": "\n".join(f"{mark} {x.format(v)}" for x in lines)
+    code = "\n\n" + "alpha beta gamma\n" * 200
+    rows = [(1, head(mpl, "//") + code, "a/1"), (2, code + head(gpl, " *", 2) + code, "b/2"), (3, head(gpl, "#", 3) + code, "c/3"), (4, head(["alpha beta gamma", *gpl, "alpha beta gamma"], "#", 2), "d/4")]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), "doc_id", "path").collect()}
+    assert got == {1: "MPL-2.0", 2: "GPL-2.0", 3: "GPL-3.0", 4: "GPL-2.0"}
+
+
+def test_license_candidates_hold_every_match():
+    scorer = licenses.Scorer({"the": 900, "of": 800, "license": 20}, 1000)
+    rng = np.random.default_rng(1)
+    every = np.arange(len(scorer.names))
+    for _ in range(300):
+        name, _, counts = licenses._COUNTED[rng.integers(len(licenses._COUNTED))]
+        terms = [t for t in counts if rng.random() < 0.6] + [f"w{i}" for i in range(rng.integers(4))]
+        if terms:
+            found = scorer.cosines(terms, np.ones((1, len(terms))), every)[0]
+            assert not (found >= licenses.LEAST_COSINE)[~scorer.possible(set(terms))].any()
+
+
 def brute_nearest(rows, every, k):
     fine = {}
     for i, v in rows:
