@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import checked, materialize
@@ -15,6 +15,10 @@ from .shared import checked, materialize
 LOW, HIGH, BUILD_LIST, SEARCH_LIST, AT_ONCE = 32, 16, 64, 160, 4
 #: Rows of a shard at most (on average), least number of shards, queries that one search task holds.
 SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 50_000, 3, 5_000
+#: A length band with fewer rows than this for each of the LEAST_SHARDS takes fewer shards.
+LEAST_ROWS = 1_000
+#: Lengths in a shard differ by 2 ** BAND_BITS at most, so float32 tells its distances apart; 1 lies amid a band.
+BAND_BITS = 4
 BATCH = 256
 
 
@@ -175,14 +179,24 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(F.col(f"`{key}`").cast("bigint").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists("v", lambda x: x != 0)).distinct()
 
 
+def band(v: Column) -> Column:
+    """The band of a vector's length, by its logarithm; the largest component is taken out first, so squares stay finite."""
+    most = F.array_max(F.transform(v, F.abs))
+    square = F.aggregate(F.transform(v, lambda x: x / most), F.lit(0.0), lambda a, x: a + x * x)
+    return F.floor((F.log2(most) + F.log2(square) / 2) / BAND_BITS + 0.5).cast("int")
+
+
 def build_index(rows: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
     """A written table with one row per shard: vectors, the ids of each (the ``keep`` smallest) and flat neighbours.
 
-    Rows with the same vector are one point; vectors of unlike lengths go to shards of their own.
+    Rows with the same vector are one point; vectors of unlike numbers of components, and of lengths in unlike bands, go
+    to shards of their own.
     """
     ranked = usable(rows, key, vector).withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= keep)
-    points = materialize(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
-    shards = max(LEAST_SHARDS, -(-points.count() // SHARD_ROWS))
+    grouped = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    points = materialize(grouped.withColumn("dim", F.size("v")).withColumn("band", band(F.col("v"))), "points")
+    need = lambda rows: F.ceil(F.col("n") / F.lit(rows))
+    shards = points.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n")).select(F.col("dim").alias("__dim"), F.col("band").alias("__band"), F.greatest(need(SHARD_ROWS), F.least(F.lit(LEAST_SHARDS).cast("bigint"), need(LEAST_ROWS))).alias("shards"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(frame.v.to_numpy()).astype(np.float64)
@@ -190,18 +204,18 @@ def build_index(rows: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
         v, ids = v[order], [frame.ids.iloc[i] for i in order]
         members, layers = build(_flat(v))
         parts = [*members, *(x.ravel() for x in layers)]
-        return pd.DataFrame([{"dim": v.shape[1], "shard": frame.shard.iloc[0], "v": v.tobytes(), "ids": np.concatenate(ids).astype(np.int64).tobytes(), "counts": np.array([len(i) for i in ids], np.int32).tobytes(), "layers": len(layers), "sizes": np.array([len(p) for p in parts], np.int64).tobytes(), "links": np.concatenate(parts).astype(np.int32).tobytes()}])
+        return pd.DataFrame([{"dim": v.shape[1], "band": frame.band.iloc[0], "shard": frame.shard.iloc[0], "v": v.tobytes(), "ids": np.concatenate(ids).astype(np.int64).tobytes(), "counts": np.array([len(i) for i in ids], np.int32).tobytes(), "layers": len(layers), "sizes": np.array([len(p) for p in parts], np.int64).tobytes(), "links": np.concatenate(parts).astype(np.int32).tobytes()}])
 
-    keyed = points.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return materialize(keyed.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, v binary, ids binary, counts binary, layers int, sizes binary, links binary"), "graphs")
+    keyed = points.join(checked(materialize(shards, "shards")), (F.col("dim") == F.col("__dim")) & (F.col("band") == F.col("__band"))).withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int")).select("v", "ids", "dim", "band", "shard")
+    return materialize(keyed.groupBy("dim", "band", "shard").applyInPandas(run, "dim int, band int, shard int, v binary, ids binary, counts binary, layers int, sizes binary, links binary"), "graphs")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_LIST) -> DataFrame:
     """(query_id, rank, vec_id, score): each query (id, v) goes to every shard of its length, and results are merged."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    where = index.select(F.col("dim").alias("__dim"), F.col("shard").alias("__shard"))
+    where = index.select(F.col("dim").alias("__dim"), F.col("band").alias("__band"), F.col("shard").alias("__shard"))
     dealt = queries.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = dealt.join(checked(where), F.col("dim") == F.col("__dim")).select("id", "v", "block", F.col("__dim").alias("dim"), F.col("__shard").alias("shard"))
+    dealt = dealt.join(checked(where), F.col("dim") == F.col("__dim")).select("id", "v", "block", F.col("__dim").alias("dim"), F.col("__band").alias("band"), F.col("__shard").alias("shard"))
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
@@ -231,7 +245,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEAR
                     out.append(pd.DataFrame({"query_id": own, "vec_id": each[best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    found = dealt.groupBy("dim", "shard", "block").cogroup(graphs.groupBy("dim", "shard", "block")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
+    found = dealt.groupBy("dim", "band", "shard", "block").cogroup(graphs.groupBy("dim", "band", "shard", "block")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

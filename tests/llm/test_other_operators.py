@@ -162,6 +162,24 @@ def test_nearest_recall(spark):
     assert hit >= 0.9 * 20 * 150
 
 
+def test_nearest_with_a_few_very_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_SHARDS", 1)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(20_000, 32))
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    v[[11, 222, 3333]] *= [[1e4], [1e6], [1e9]]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, 500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 20_000, 500):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hit >= 0.9 * 20 * 40
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "http://a/%\r\n", "same"), (1, "u1", "same"), (2, None, "é" * 9000), (4, "u4", None), (5, "u5", ""), (None, "u6", "same"), (None, "u7", "alone"), (1, "u8", "same"), (9, "u9", "a\r\n\r\nb")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(2)
