@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript iframe object svg canvas audio video datalist title noembed noframes".split())
+#: What an open head can hold; any other tag, or text, closes it.
+HEAD_CONTENT = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "optgroup", "option", "legend", "li", "dd", "dt"} | {"li", "dd", "dt"}
@@ -27,8 +29,10 @@ SCOPES = frozenset("table td th caption button object template html body".split(
 #: Tables nested deeper than this are laid out as plain blocks.
 TABLE_DEPTH = 50
 
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+# An attribute: a quote opens a value only right after "=" (and white space), elsewhere it is a part of a name or value.
+_ATTRIBUTE_TEXT = r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+))?+)?+"
+_ATTRIBUTE = re.compile(_ATTRIBUTE_TEXT)
+_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\f\r/]++|" + re.sub(r"\((?=\[)", "(?:", _ATTRIBUTE_TEXT) + r")*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 _BLANK = re.compile(r"[ \t\n\f\r]+")
 
@@ -57,10 +61,16 @@ def parse(page: str) -> Node:
                 del stack[low:]
                 return
 
+    def leave_head() -> None:
+        if stack[-1].tag == "head":
+            stack.pop()
+
     while at < last:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else last]
         if text:
+            if not text.isspace():
+                leave_head()
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
@@ -72,6 +82,7 @@ def parse(page: str) -> Node:
             if tag in ("html", "body"):
                 continue
             if tag == "br":
+                leave_head()
                 stack[-1].children.append(Node("br", {}))
             else:
                 barriers = ("table",) if tag in ("tr", "tbody", "thead", "tfoot") else SCOPES - {tag} if tag != "table" else ()
@@ -88,12 +99,12 @@ def parse(page: str) -> Node:
             if tag == "body" and Node(tag, attributes).hidden:
                 root.hidden = True
             continue
+        if tag not in HEAD_CONTENT:
+            leave_head()
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in CLOSES_P:
             close(("p",), SCOPES)
-            if tag in BLOCKS and stack[-1].tag == "head":
-                stack.pop()
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:

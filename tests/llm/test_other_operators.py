@@ -197,6 +197,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<a href="x"">text</a><a href="y">more</a><p>rest of page</p>', "textmore\n\nrest of page"), ("<a title=Bob's>text</a><p>rest of page</p>", "text\n\nrest of page"), ('<a "b>x</a>y <p style="display:none">n</p>', "xy"), ("<a title=\"a>b\" href = 'c>d'>x</a>", "x"),
+        ("<head><title>T</title><span>Hi<p>text", "Hi\n\ntext"), ("<head><title>T</title>Hi<p>text", "Hi\n\ntext"), ("<head> <meta x><style>s</style></head>Hi", "Hi"),
+    ],
+)
+def test_stray_quotes_and_open_heads_hide_nothing(page, want):
+    assert html_text.render(page) == want
+
+
 def test_html_rendering():
     page = """<!DOCTYPE html><title>t</title><style>x</style><h1>Head</h1><p>one<p>two <b>bold</b>  text<br>next
     <ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul><script>var t="</p>";</script><p hidden>no</p><div style="display: none">no</div>
