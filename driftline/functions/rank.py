@@ -1,43 +1,16 @@
-"""Row numbers over whole tables in many tasks, and joins with sides of a checked size."""
+"""Row numbers and running totals over whole tables in many tasks."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most rows of a join side that may be broadcast; a larger side is shuffled.
-BROADCAST_ROWS = 20_000
-
-
-def checked(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint if it has at most ``limit`` rows, else unchanged (a shuffled join)."""
-    return F.broadcast(side) if len(side.limit(limit + 1).select(F.lit(1)).collect()) <= limit else side
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset, but only in a local session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="driftline-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+from driftline.functions.scratch import checked, materialize
 
 
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` dealt by ranges of the order, with __range, as a written table: ranges stay fixed if an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/driftline-ranks-{uuid.uuid4().hex}"
-    dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    dealt.write.parquet(path)
-    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+    return materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranks")
 
 
 def _starts(totals: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import stats, vectors as V
-from driftline.functions.rank import shared_dir
+from driftline.functions.scratch import fresh_path
 from driftline.operators import calibration, evaluation, graph, models, scheduling, search, workload
 from driftline.plans import lifecycle
 from driftline.session import table
@@ -731,7 +730,7 @@ def native_sizes(b):
 
 @query("SELECT item_id, item_id // 128 AS segment, round(new[1], 6) AS first_part FROM x WHERE item_id // 128 IN (0, 2)")
 def segment_scan(b):
-    path = f"{shared_dir(b.spark)}/driftline-segments-{uuid.uuid4().hex}"
+    path = fresh_path(b.spark, "segments")
     corpora.write_segments(b.items.select("item_id", F.col("new").alias("vec")), path, 128)
     return corpora.read_segments(b.spark, path, [0, 2]).select("item_id", F.col("segment").cast("bigint").alias("segment"), F.round(F.col("vec")[0], 6).alias("first_part"))
 
