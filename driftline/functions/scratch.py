@@ -35,16 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the innermost scope ends, at the latest with the program."""
+def fresh_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A new path in the shared folder; it is removed when the innermost scope ends (or, if it ``outlives`` that, the
+    one around it), at the latest with the program."""
     path = f"{shared_dir(spark)}/driftline-{name}-{uuid.uuid4().hex}"
-    _scopes[-1].append((spark, path))
+    _scopes[max(-2, -len(_scopes)) if outlives else -1].append((spark, path))
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and lost executors cost nothing."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name, outlives)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
