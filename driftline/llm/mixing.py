@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import word_array
-from .shared import checked, materialize, with_running_sum
+from .shared import checked, discard, materialize, row_hash, with_running_sum
 
 WEIGHTS, SHARE, MOST_TIMES = (5, 2, 1), 1.5, 2
-#: Words in a block, blocks in an output shard (on average), rows per chunk of a running sum.
-BLOCK, SHARD_SLOTS, CHUNK_ROWS, SEED = 64, 4096, 200_000, 11
+#: Words in a block, blocks in an output shard (on average), rows in a chunk of a running sum (on average).
+BLOCK, SHARD_SLOTS, CHUNK_ROWS, SEED = 1024, 512, 50_000, 11
 #: Shards whose counts are drawn together, after those of the groups; shards that one task deals at most.
 GROUP_SHARDS, TASK_SHARDS = 1024, 64
 
@@ -51,25 +51,25 @@ def _key(sid: int, epoch: int) -> int:
     return (sid * 1_000_003 + epoch) * 97 + SEED
 
 
-def slots_of(size: int, want: int, sid: int) -> tuple[int, int, int]:
-    """Blocks of a source, slots that draw ``want`` words from it, and the words that the last slot takes."""
-    blocks = -(-size // BLOCK)
+def slots_of(size: int, want: int, sid: int, block: int) -> tuple[int, int, int]:
+    """Blocks of ``block`` words of a source, slots that draw ``want`` words from it, and the words that the last slot takes."""
+    blocks = -(-size // block)
     if want <= 0 or blocks == 0:
         return blocks, 0, 0
     epochs, rest = divmod(want, size)
-    short = size - (blocks - 1) * BLOCK
+    short = size - (blocks - 1) * block
     if rest == 0:
-        return blocks, epochs * blocks, BLOCK
+        return blocks, epochs * blocks, block
     at = int(permute(np.array([blocks - 1]), blocks, _key(sid, epochs), backwards=True)[0])
-    before = at * BLOCK
+    before = at * block
     if rest <= before:
-        more, base = -(-rest // BLOCK), 0
+        more, base = -(-rest // block), 0
     elif rest <= before + short:
         return blocks, epochs * blocks + at + 1, rest - before
     else:
         base = before + short
-        more = -(-(rest - base) // BLOCK)
-    last = rest - base - (more - 1) * BLOCK
+        more = -(-(rest - base) // block)
+    last = rest - base - (more - 1) * block
     return blocks, epochs * blocks + more + (at + 1 if base else 0), last
 
 
@@ -101,12 +101,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return table.select("source", "sid", "source_size", F.least("__cap", F.lit(level) * F.col("__weight")).alias("target"))
 
 
-def drawn_blocks(targets: DataFrame, shards: int) -> DataFrame:
-    """(sid, block, times, part): how often each block is drawn whole, and the words of a last, cut draw if any.
+def drawn_slots(targets: DataFrame, shards: int) -> DataFrame:
+    """(shard, sid, k, block, words): the blocks that each output shard takes, and how many of a block's words.
 
-    Each source's slots are dealt to the output shards by a multinomial draw, so a shard's counts are multinomial
-    given the totals; a slot's number picks its block by the source's permutation for that pass over it. The draw is
-    made for groups of shards and then within each group, which gives the same law and never holds all shards at once.
+    A source's slots are as many as its target asks for. How many of them a shard gets is a multinomial draw over the
+    shards, the same for all sources; which blocks these are follows from the slots' numbers k by the source's
+    permutation for each pass over it. The draw is made for groups of shards and then within each group, which gives
+    the same law and never holds all shards at once. Only a source's last slot takes less than its block.
     """
     each = GROUP_SHARDS
     sizes = np.full(-(-shards // each), each)
@@ -119,7 +120,7 @@ def drawn_blocks(targets: DataFrame, shards: int) -> DataFrame:
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for sid, size, target in zip(frame.sid, frame.source_size, frame.target, strict=True):
-                blocks, slots, last = slots_of(int(size), min(round(target), MOST_TIMES * int(size)), int(sid))
+                blocks, slots, last = slots_of(int(size), min(round(target), MOST_TIMES * int(size)), int(sid), BLOCK)
                 counts = np.random.default_rng([SEED, int(sid)]).multinomial(slots, sizes / shards)
                 made = pd.DataFrame({"sid": sid, "blocks": blocks, "slots": slots, "last": last, "shards": np.arange(len(sizes)), "first": np.cumsum(counts) - counts, "count": counts})
                 yield from rows(made, np.flatnonzero(counts))
@@ -141,7 +142,7 @@ def drawn_blocks(targets: DataFrame, shards: int) -> DataFrame:
                     for epoch in np.unique(k // r.blocks):
                         own = k // r.blocks == epoch
                         block[own] = permute(k[own] % r.blocks, int(r.blocks), _key(int(r.sid), int(epoch)))
-                    yield pd.DataFrame({"sid": r.sid, "block": block, "words": np.where(k == r.slots - 1, r.last, BLOCK), "shard": r.shard})
+                    yield pd.DataFrame({"shard": r.shard, "sid": r.sid, "k": k, "block": block, "words": np.where(k == r.slots - 1, r.last, BLOCK)})
 
     parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = "sid bigint, blocks bigint, slots bigint, last bigint, {} bigint, first bigint, count bigint"
@@ -149,94 +150,100 @@ def drawn_blocks(targets: DataFrame, shards: int) -> DataFrame:
     if len(sizes) > 1:
         groups = groups.repartition(parts, "shards")
     dealt = groups.mapInPandas(split, drawn.format("shard"))
-    slots = dealt.repartition(max(parts, shards // TASK_SHARDS), "shard").mapInPandas(place, "sid bigint, block bigint, words bigint, shard bigint")
-    whole = F.col("words") == BLOCK
-    return slots.groupBy("sid", "block").agg(F.sum(whole.cast("int")).alias("times"), F.max(F.when(~whole, F.col("words"))).alias("part"))
+    return dealt.repartition(max(parts, shards // TASK_SHARDS), "shard").mapInPandas(place, "shard bigint, sid bigint, k bigint, block bigint, words bigint")
 
 
-def plan(sizes: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
-    """The sources' targets, and (row, size, source_size, target, low, high, times, part) for each piece of a row in a
-    block: its words low to high are taken ``times`` times, and those below ``part`` once more. ``row`` is unique."""
-    targets = materialize(source_targets(sizes), "targets")
+def placed_rows(sizes: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of a written table (source, size, h1, h2, ...) with their source's sid, size and target, and at: the
+    words of the source before them; and the number of output shards.
+
+    A source's rows lie in the order of their hashes, so a row's place hangs on its content and not on files or tasks.
+    """
+    targets = materialize(source_targets(sizes.select("source", "size")), "targets")
     words, rows = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
-    drawn = drawn_blocks(targets, max(1, -(-int(SHARE * (words or 0)) // (BLOCK * SHARD_SLOTS))))
-    chunks = max(16, math.ceil(rows / CHUNK_ROWS) * 4)
     named = targets.select(F.col("source").alias("__source"), "sid", "source_size", "target")
     known = sizes.join(checked(named), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    placed = with_running_sum(known, ["sid"], F.col(row), F.col("size"), "__at", chunks)
-    end = F.col("__at") + F.col("size")
-    spans = F.when(F.col("size") > 0, F.sequence((F.col("__at") / BLOCK).cast("bigint"), ((end - 1) / BLOCK).cast("bigint"))).otherwise(F.array(F.lit(-1).cast("bigint")))
-    pieces = placed.withColumn("block", F.explode(spans))
+    chunks = max(4 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / CHUNK_ROWS))
+    return with_running_sum(known, ["sid"], [F.col("h1"), F.col("h2")], F.col("size"), "at", chunks), max(1, -(-int(SHARE * (words or 0)) // (BLOCK * SHARD_SLOTS)))
+
+
+def joined_blocks(placed: DataFrame, shards: int, how: str) -> DataFrame:
+    """The rows with words of ``placed`` (sid, source_size, target, size, at, ...) joined by block with the slots that
+    take their words: shard, k, low and high, the row's words that the slot takes. ``how`` left keeps rows that no
+    slot takes, with nulls."""
+    end = F.col("at") + F.col("size")
+    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence((F.col("at") / BLOCK).cast("bigint"), ((end - 1) / BLOCK).cast("bigint"))))
+    # the slots grow with the words, which their plan can't tell from the small table of sources: no broadcast
+    targets = placed.select("sid", "source_size", "target").distinct()
+    drawn = drawn_slots(targets, shards).hint("merge")
     start = F.col("block") * BLOCK
-    pieces = pieces.withColumns({"low": F.greatest(F.col("__at"), start), "high": F.least(end, start + BLOCK)})
-    # drawn grows with the words, which its plan can't tell from the small table of sources: it must not be broadcast
-    joined = pieces.join(drawn.hint("merge"), ["sid", "block"], "left").withColumns({"part": F.when(F.col("part").isNotNull(), F.least("high", start + F.col("part"))).otherwise(start), "times": F.coalesce("times", F.lit(0))})
-    own = lambda c: F.when(F.col("size") > 0, F.col(c) - F.col("__at")).otherwise(0).alias(c)
-    return targets, joined.select(*[c for c in sizes.columns if c not in ("low", "high", "times", "part")], "source_size", "target", own("low"), own("high"), "times", own("part"))
-
-
-def sized(docs: DataFrame, keep: list[str], text: str, source: str) -> DataFrame:
-    """The rows with their word counts and a row number that stays fixed, as a written table."""
-    return materialize(docs.select(*keep, F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size")).withColumn("__row", F.monotonically_increasing_id()), "sizes")
+    taken = pieces.join(drawn, ["sid", "block"], how).withColumns({"low": F.greatest(F.col("at"), start) - F.col("at"), "high": F.least(end, start + F.coalesce("words", F.lit(0))) - F.col("at")})
+    return taken.filter("high > low") if how == "inner" else taken
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, size, source_size, target, taken) for every row: the words of it that the mix takes, repeats counted.
 
     A null or wordless text has size 0 and is not taken; null sources are one source, ranked last; repeated rows are
-    rows of their own; other columns are left out. A source's taken words are its target to the nearest word, and no
-    word is taken more than MOST_TIMES times.
+    rows of their own; other columns, whatever their names, are left out; an empty table gives an empty one. A source's
+    taken words are its target to the nearest word, and no word is taken more than MOST_TIMES times. The result is the
+    same for any order and files of the rows.
     """
-    sizes = sized(docs.select(F.col(key).alias("__key"), text, source), ["__key"], text, source)
-    _, pieces = plan(sizes, "__row")
-    words = F.col("times") * (F.col("high") - F.col("low")) + F.greatest(F.lit(0), F.col("part") - F.col("low"))
-    taken = pieces.groupBy("__row", "__key", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
-    return taken.select(F.col("__key").alias(key), "size", "source_size", "target", "taken")
+    mine = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"))
+    sizes = materialize(mine.select("key", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), row_hash(mine, 1).alias("h1"), row_hash(mine, 2).alias("h2")), "sizes")
+    placed, shards = placed_rows(sizes)
+    placed = materialize(placed.select("key", "sid", "size", "source_size", "target", "at"), "placed")
+    names = ["key", "size", "source_size", "target"]
+    words = F.sum(F.greatest(F.lit(0), F.col("high") - F.col("low")))
+    taken = joined_blocks(placed, shards, "left").groupBy("sid", "at", *names).agg(F.coalesce(words, F.lit(0)).cast("long").alias("taken")).select(*names, "taken")
+    every = taken.unionByName(placed.filter("size = 0").select(*names, F.lit(0).cast("long").alias("taken")))
+    return every.withColumnRenamed("key", key)
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def cut_copies(text: str, ranges: list[dict], size: int) -> list[str]:
-    """The texts that the mix takes from one document: per copy, each unbroken run of its taken words."""
-    ends: list[tuple[int, int]] | None = None
-    out = []
-    for copy in range(1, MOST_TIMES + 1):
-        runs: list[list[int]] = []
-        for r in ranges:
-            spans = [(r["low"], r["high"])] if r["times"] >= copy else [(r["low"], r["part"])] if r["times"] == copy - 1 and r["part"] > r["low"] else []
-            for a, b in spans:
-                if runs and runs[-1][1] == a:
-                    runs[-1][1] = b
-                else:
-                    runs.append([a, b])
-        for a, b in runs:
-            if (a, b) == (0, size):
-                out.append(text)
-                continue
-            ends = ends or [m.span() for m in _WORD.finditer(text)]
-            out.append(text[ends[a][0] : ends[b - 1][1]])
-    return out
-
+def blocks(docs: DataFrame, text: str = "text", source: str = "source", length: str | None = "n_chars") -> DataFrame:
+    """The mix: (shard, slot, start, row) for each part of a document that a shard's slot takes.
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", length: str | None = "n_chars") -> DataFrame:
-    """The mix itself with the columns of ``docs``: documents taken twice appear twice, and one of which only some
-    blocks are taken appears with the words of those blocks. ``length`` names a column to set to the new length."""
-    rows = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.monotonically_increasing_id().alias("__row")), "mixed")
-    sizes = materialize(rows.select("__row", F.col("__doc")[source].alias("source"), F.size(word_array(F.col("__doc")[text])).cast("long").alias("size")), "sizes")
-    _, pieces = plan(sizes, "__row")
-    taken = pieces.filter((F.col("times") > 0) | (F.col("part") > F.col("low"))).groupBy("__row", "size").agg(F.sort_array(F.collect_list(F.struct("low", "high", "times", "part"))).alias("ranges"))
-    joined = rows.join(taken, "__row").select("__doc.*", "size", "ranges") if not {"size", "ranges"} & set(docs.columns) else rows.join(taken.select("__row", F.col("size").alias("__size"), F.col("ranges").alias("__ranges")), "__row").select("__doc.*", "__size", "__ranges")
+    row has the columns of ``docs`` with the part's words in place of the text; a document that lies in one block
+    whole keeps its text as it is. ``length`` names a column that is set to the length of the new text. slot puts a
+    shard's blocks in a pseudorandom order, start the parts of a block in that of the source.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = materialize(docs.select(whole.alias("row"), F.monotonically_increasing_id().alias("id"), F.col(f"`{source}`").alias("source"), F.size(word_array(F.col(f"`{text}`"))).cast("long").alias("size"), row_hash(docs, 1).alias("h1"), row_hash(docs, 2).alias("h2")), "rows")
+    placed, shards = placed_rows(rows.drop("row"))
+    placed = materialize(placed.select("id", "sid", "size", "source_size", "target", "at"), "placed")
+    part = F.struct("shard", F.xxhash64("shard", "sid", "k").alias("slot"), (F.col("at") + F.col("low")).alias("start"), "low", "high")
+    taken = joined_blocks(placed, shards, "inner").groupBy("id").agg(F.collect_list(part).alias("parts"))
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                texts = [cut_copies(t, r, n) for t, r, n in zip(part.column(at).to_pylist(), part.column(len(names) + 1).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
-                take = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in texts]))
-                flat = [t for x in texts for t in x]
-                columns = [pa.array(flat, part.column(i).type) if i == at else pa.array([len(t) for t in flat], part.column(i).type) if c == length else part.column(i).take(take) for i, c in enumerate(names)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return joined.mapInArrow(run, docs.schema)
+                some = batch.slice(low, 256)
+                columns = some.column(0).flatten()
+                take, texts, where = [], [], []
+                for i, (t, n, parts) in enumerate(zip(columns[at].to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)):
+                    ends = None
+                    for p in parts:
+                        if (p["low"], p["high"]) != (0, n):
+                            ends = ends or [m.span() for m in _WORD.finditer(t)]
+                        texts.append(t if (p["low"], p["high"]) == (0, n) else t[ends[p["low"]][0] : ends[p["high"] - 1][1]])
+                        take.append(i)
+                        where.append((p["shard"], p["slot"], p["start"]))
+                made = [pa.array(texts, c.type) if i == at else pa.array([len(x) for x in texts], c.type) if names[i] == length else c.take(pa.array(take, pa.int64())) for i, c in enumerate(columns)]
+                places = [pa.array(x, pa.int64()) for x in (zip(*where, strict=True) if where else ((), (), ()))]
+                yield pa.RecordBatch.from_arrays([*places, pa.StructArray.from_arrays(made, fields=list(some.schema.field(0).type))], names=["shard", "slot", "start", "row"])
+
+    kinds = dict(rows.dtypes)["row"]
+    return rows.join(taken, "id").select("row", "size", "parts").mapInArrow(run, f"shard bigint, slot bigint, start bigint, row {kinds}")
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", length: str | None = "n_chars") -> DataFrame:
+    """The mix with the columns of ``docs``, shard by shard and in the order of each shard's slots.
+
+    Rows without words are not taken, an empty table gives an empty one, and columns of ``docs`` may have any names.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks(docs, text, source, length).repartition(parts, "shard").sortWithinPartitions("shard", "slot", "start").select("row.*")
