@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import FULL
-from .shared import checked, materialize
+from .shared import checked, materialize, spread
 
 #: Least cosine of a match; a text of at most FILE_WORDS words that holds a match is a licence file of its directory, and
 #: so is, at any length, one that matches a full licence text as a whole or has a licence file's name and holds a match.
@@ -174,7 +174,7 @@ def scan(files: DataFrame, key: str, path: str, text: str = "text") -> DataFrame
     than one licence file the best score counts, then the name; repeated rows are rows of their own; other columns are
     left out.
     """
-    known = materialize(match_texts(files, key, path, text).withColumn("__row", F.monotonically_increasing_id()), "own")
+    known = materialize(match_texts(spread(files), key, path, text).withColumn("__row", F.monotonically_increasing_id()), "own")
     parent = lambda p: F.when(p.contains("/"), F.regexp_replace(p, r"/[^/]*$", ""))
     named = F.col("__path").rlike(FILE_NAME) & ~F.col("__path").rlike(CODE_NAME)
     folders = known.filter(F.col("license").isNotNull() & (F.col("whole") | named | (F.col("words") <= FILE_WORDS)) & F.col("__path").contains("/")).groupBy(parent(F.col("__path")).alias("folder")).agg(F.max(F.struct("score", "license")).alias("best")).select("folder", F.col("best.license").alias("f_license"), F.col("best.score").alias("f_score"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
+import math
 import os
 import re
 from collections.abc import Iterator
@@ -12,9 +14,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .shared import spread
+
 WINDOW, END_ID = 2048, 1
 #: Lengths are fitted in classes of GRAIN tokens; a combination has at most DEPTH pieces.
 GRAIN, DEPTH = 64, 4
+#: Windows that one piece left over may have to fill a gap of, on average; combinations are given up until it is so.
+CUTS, STRIDE = 4, 7919
 #: Tokens that a task packs at a time; its memory is in proportion.
 BUFFER_TOKENS = 4_000_000
 #: Most words whose ids a worker keeps, and the longest such word; the store is emptied when full.
@@ -79,14 +85,15 @@ def plan(lengths: list[int]) -> tuple[list[tuple[int, int, int]], int]:
     """Pieces (document, start, length) in the order in which they fill windows, for documents of these lengths.
 
     Whole windows are cut off the front of long documents. The rests are fitted: combinations are repeated as the
-    rounded solution says, each window's gap is filled with cuts of pieces that no combination took, and what is left
+    rounded solution says, and each window's gap is filled greedily with pieces that no combination took: the longest
+    that fits whole, and where none fits a cut of one of them in turn, so cuts spread over documents. What is left
     follows as one stream. All windows are full but those at the end.
     """
     out = [(d, at, WINDOW) for d, n in enumerate(lengths) for at in range(0, n - WINDOW + 1, WINDOW)]
-    rests = [(d, n - n % WINDOW, n % WINDOW) for d, n in enumerate(lengths) if n % WINDOW]
+    rests = [(n % WINDOW, d, n - n % WINDOW) for d, n in enumerate(lengths) if n % WINDOW]
     bins: list[list[tuple[int, int, int]]] = [[] for _ in range(WINDOW // GRAIN)]
     for r in rests:
-        bins[(r[2] - 1) // GRAIN].append(r)
+        bins[(r[0] - 1) // GRAIN].append(r)
     repeats = nnls(_COMBOS, np.array([len(b) for b in bins], float)) if rests else np.zeros(_COMBOS.shape[1])
     groups: list[list[tuple[int, int, int]]] = []
     for j in np.argsort(-repeats, kind="stable"):
@@ -96,25 +103,27 @@ def plan(lengths: list[int]) -> tuple[list[tuple[int, int, int]], int]:
         times = min([times, *(len(bins[c]) // k for c, k in need)])
         for _ in range(times):
             groups.append([bins[c].pop() for c, k in need for _ in range(k)])
-    spare = [r for b in bins for r in b]  # the longest is taken first
+    spare = sorted(r for b in bins for r in b)
     done = 0
     while done < len(groups):
-        gap = WINDOW - sum(p[2] for p in groups[done])
+        gap = WINDOW - sum(p[0] for p in groups[done])
         while gap and (spare or len(groups) > done + 1):
-            if not spare:
-                spare += groups.pop()
+            if len(spare) * CUTS < len(groups) - done - 1 or not spare:
+                for piece in groups.pop():
+                    bisect.insort(spare, piece)
                 continue
-            d, at, n = spare.pop()
-            groups[done].append((d, at, min(n, gap)))
+            fits = bisect.bisect_right(spare, (gap, math.inf))
+            n, d, at = spare.pop(fits - 1 if fits else len(out) * STRIDE % len(spare))
+            groups[done].append((min(n, gap), d, at))
             if n > gap:
-                spare.append((d, at + gap, n - gap))
+                bisect.insort(spare, (n - gap, d, at + gap))
             gap -= min(n, gap)
         if gap:
             spare += groups.pop()
             break
-        out += groups[done]
+        out += [(d, at, n) for n, d, at in groups[done]]
         done += 1
-    return out + spare[::-1], len(lengths)
+    return out + [(d, at, n) for n, d, at in reversed(spare)], len(lengths)
 
 
 def lay(pieces: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -203,8 +212,10 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 
     Each document's ids are followed by id 1; a null text counts as empty, so it is the id 1 alone. Each task packs
     what it reads, a buffer of documents at a time, so nothing is shuffled and a lost task is simply run again:
-    sequence ids hold the task's number. Repeated rows and null keys are packed as rows of their own. A tail of a
-    buffer that fills no window is split into sequences of a power of two, which need no padding.
+    sequence ids hold the task's number. Repeated rows and null keys are packed as rows of their own; texts of any
+    length are read whole, other columns (also those named like the result's) are left out, and an empty table gives
+    an empty one. A tail of a buffer that fills no window is split into sequences of a power of two, which need no
+    padding.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,4 +263,4 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
             yield from flush()
 
     names = [key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, {SCHEMA}")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, {SCHEMA}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, checked, materialize
+from .shared import SPACES, checked, materialize, spread
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
 #: A host is rejected if its shrunken failure rate is above this.
@@ -68,7 +68,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFram
     kept is false if base_failed, else true unless the host's shrunken rate is above MAX_HOST_RATE. Repeated rows are
     judged one by one; an empty table gives an empty table.
     """
-    feats = materialize(measure(docs, text).drop(text), "quality")
+    feats = materialize(measure(spread(docs), text).drop(text), "quality")
     rates = host_rates(feats, host, "base_failed").select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
     joined = feats.drop("host_rate", "kept").join(checked(rates), F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left").drop("__host")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= MAX_HOST_RATE))
@@ -79,7 +79,7 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> Data
 
     The measures are taken once: survivors are written with their texts, failures with the host only.
     """
-    taken = measure(docs.withColumn("__text", F.col(f"`{text}`")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "__text", F.col(f"`{host}`").alias("__host")), "__text")
+    taken = measure(spread(docs).withColumn("__text", F.col(f"`{text}`")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "__text", F.col(f"`{host}`").alias("__host")), "__text")
     table = materialize(taken.select(F.when(~F.col("base_failed"), F.col("__row")).alias("__row"), "__host", F.col("base_failed").alias("__failed")), "quality")
     bad = host_rates(table, "__host", "__failed").filter(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("__bad"))
     return table.filter(~F.col("__failed")).join(checked(bad), F.col("__host").eqNullSafe(F.col("__bad")), "left_anti").select("__row.*")

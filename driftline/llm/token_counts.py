@@ -11,6 +11,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import spread
+
 #: Most chunks whose counts a worker keeps; the store is emptied when full.
 CACHED, CACHED_CHARS = 500_000, 64
 #: Most new pre-tokens that are merged at a time.
@@ -148,8 +150,9 @@ def merger(path: str) -> Merger:
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
-    A null text counts as empty (0 bytes, 0 tokens); null and repeated keys are passed through row by row; other
-    columns are left out. ``path`` names a tokenizers .json file of a byte-level BPE on every executor.
+    A null text counts as empty (0 bytes, 0 tokens); null and repeated keys are passed through row by row; texts of any
+    length are counted whole; other columns (also those named like the result's) are left out; an empty table gives an
+    empty one. ``path`` names a tokenizers .json file of a byte-level BPE on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,4 +166,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0), size, n, pa.array(np.asarray(n) > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
