@@ -9,34 +9,65 @@ from pyspark.sql import functions as F
 TRAINED, OTHERS = ("<s>", "</s>"), ("[INST]", "[/INST]")
 CONTROLS = [*TRAINED, *OTHERS]
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
-_STRIP = r": (?!OBJECT|ARRAY)[A-Z_ ]+(?:\(\d+,\d+\))?"
 
-#: Declarative mappings: the nested field paths of a layout, and SQL over the record ``v`` giving its turns.
-LAYOUTS = {
-    "turn_row": ("OBJECT<role, text, turn>", "array(named_struct('turn', try_variant_get(v, '$.turn', 'bigint'), 'role', try_variant_get(v, '$.role', 'string'), 'text', try_variant_get(v, '$.text', 'string')))"),
-    "messages": ("OBJECT<messages: ARRAY<OBJECT<content, role>>>", "transform(try_variant_get(v, '$.messages', 'array<struct<role string, content string>>'), (m, i) -> named_struct('turn', cast(i as bigint), 'role', m.role, 'text', m.content))"),
-    "shared": ("OBJECT<conversations: ARRAY<OBJECT<from, value>>>", "transform(try_variant_get(v, '$.conversations', 'array<struct<from string, value string>>'), (m, i) -> named_struct('turn', cast(i as bigint), 'role', CASE m.from WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.from END, 'text', m.value))"),
-    "prompt": ("OBJECT<prompt, response>", "array(named_struct('turn', 0L, 'role', 'user', 'text', try_variant_get(v, '$.prompt', 'string')), named_struct('turn', 1L, 'role', 'assistant', 'text', try_variant_get(v, '$.response', 'string')))"),
-    "completion": ("OBJECT<completion, prompt>", "array(named_struct('turn', 0L, 'role', 'user', 'text', try_variant_get(v, '$.prompt', 'string')), named_struct('turn', 1L, 'role', 'assistant', 'text', try_variant_get(v, '$.completion', 'string')))"),
-    "instruction": ("OBJECT<instruction, output>", "array(named_struct('turn', 0L, 'role', 'user', 'text', try_variant_get(v, '$.instruction', 'string')), named_struct('turn', 1L, 'role', 'assistant', 'text', try_variant_get(v, '$.output', 'string')))"),
-    "instruction_input": ("OBJECT<input, instruction, output>", "array(named_struct('turn', 0L, 'role', 'user', 'text', concat_ws('\\n', try_variant_get(v, '$.instruction', 'string'), nullif(try_variant_get(v, '$.input', 'string'), ''))), named_struct('turn', 1L, 'role', 'assistant', 'text', try_variant_get(v, '$.output', 'string')))"),
-}
+#: Turn number of a record's first turn: its field turn, or 0 where it has none.
+_BASE = "CASE WHEN variant_get(v, '$.turn', 'variant') IS NULL THEN 0L ELSE try_variant_get(v, '$.turn', 'bigint') END"
+#: Roles by other names.
+_ROLE = "CASE {0} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE {0} END"
+
+
+def _listed(field: str, role: str, text: str, mapped: str) -> str:
+    """SQL for the turns in a list of messages."""
+    return f"transform(try_variant_get(v, '$.{field}', 'array<struct<{role} string, {text} string>>'), (m, i) -> named_struct('turn', {_BASE} + cast(i as bigint), 'role', {mapped.format('m.' + role)}, 'text', m.{text}))"
+
+
+def _pair(asked: str, answer: str) -> str:
+    """SQL for a question and its answer."""
+    return f"array(named_struct('turn', {_BASE}, 'role', 'user', 'text', {asked}), named_struct('turn', {_BASE} + 1L, 'role', 'assistant', 'text', {answer}))"
 
 
-def fingerprint(record: Column) -> Column:
-    """A hash of the nested field paths of a variant record; types and values don't matter."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), _STRIP, ""))
+def _get(field: str) -> str:
+    return f"try_variant_get(v, '$.{field}', 'string')"
 
 
-def canonical_turns(records: DataFrame, record: str, layouts: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """Add layout (null where no mapping has the record's fingerprint) and turns (then null) for a variant column."""
+#: Declarative mappings, the first that applies counts: the nested field paths that a layout needs, and SQL over the
+#: record ``v`` for its turns. A record may have further fields; an empty list has no paths to miss.
+LAYOUTS = {
+    "messages": (["messages[].content", "messages[].role"], _listed("messages", "role", "content", "{}")),
+    "shared": (["conversations[].from", "conversations[].value"], _listed("conversations", "from", "value", _ROLE)),
+    "turn_row": (["role", "text"], f"array(named_struct('turn', {_BASE}, 'role', {_get('role')}, 'text', {_get('text')}))"),
+    "instruction_input": (["input", "instruction", "output"], _pair(f"concat_ws('\\n', {_get('instruction')}, nullif({_get('input')}, ''))", _get("output"))),
+    "instruction": (["instruction", "output"], _pair(_get("instruction"), _get("output"))),
+    "prompt": (["prompt", "response"], _pair(_get("prompt"), _get("response"))),
+    "completion": (["completion", "prompt"], _pair(_get("prompt"), _get("completion"))),
+}
+
+
+def _has(path: str) -> str:
+    """SQL: the record ``v`` has a field at this path; in a list one element that has it, or none at all."""
+    head, _, inner = path.partition("[].")
+    if not inner:
+        return f"variant_get(v, '$.{head}', 'variant') IS NOT NULL"
+    items = f"try_variant_get(v, '$.{head}', 'array<variant>')"
+    return f"coalesce(size({items}) = 0 OR exists({items}, m -> variant_get(m, '$.{inner}', 'variant') IS NOT NULL), false)"
+
+
+def fingerprint(paths: list[str]) -> Column:
+    """A hash of those of the nested field paths that the record ``v`` has; further fields, types and values don't
+    matter."""
+    found = F.filter(F.array(*[F.when(F.expr(_has(p)), F.lit(p)) for p in sorted(paths)]), lambda p: p.isNotNull())
+    return F.xxhash64(F.array_join(found, "\n"))
+
+
+def canonical_turns(records: DataFrame, record: str, layouts: dict[str, tuple[list[str], str]] | None = None) -> DataFrame:
+    """Add layout and turns for a variant column; both are null where no mapping's fingerprint is the record's."""
     known = LAYOUTS if layouts is None else layouts
-    df = records.withColumn("v", F.col(f"`{record}`")).withColumn("__print", fingerprint(F.col("v")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, (paths, mapping) in known.items():
-        hit = F.col("__print") == F.xxhash64(F.lit(paths))
-        layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, F.expr(mapping).cast(TURNS)).otherwise(turns)
-    return df.withColumns({"layout": layout, "turns": turns}).drop("v", "__print")
+    df = records.withColumn("v", F.col(f"`{record}`"))
+    prints = {name: fingerprint(paths) == F.xxhash64(F.lit("\n".join(sorted(paths)))) for name, (paths, _) in known.items()}
+    layout = F.coalesce(*[F.when(hit, F.lit(name)) for name, hit in prints.items()])
+    df = df.withColumn("layout", layout)
+    turns = F.coalesce(*[F.when(F.col("layout") == name, F.expr(mapping).cast(TURNS)) for name, (_, mapping) in known.items()])
+    return df.withColumn("turns", turns).drop("v")
 
 
 def escape(text: Column) -> Column:
@@ -78,15 +109,27 @@ def read_back(df: DataFrame, formatted: str = "formatted", spans: str = "loss_sp
 
 
 def gather_conversations(rows: DataFrame, key: str, record: str) -> DataFrame:
-    """One row per key with its turns in order (turn, then role, then text; nulls first) from one or more records.
+    """One row per key: its turns in order (turn, then role, then text; nulls first) from one or more records, and
+    unmapped, the number of records whose layout is not known and which so have no turns.
 
-    Rows whose key is null form one conversation. A conversation is one value, so it has to fit in a row.
+    Rows whose key is null form one conversation. A conversation is one value, so it has to fit in a row; records are
+    mapped before they are gathered, and all conversations but the largest share a task with others.
     """
     df = canonical_turns(rows.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{record}`").alias("__record")), "__record")
-    return df.groupBy("__key").agg(F.sort_array(F.flatten(F.collect_list("turns"))).alias("turns")).withColumnRenamed("__key", key)
+    return df.groupBy("__key").agg(F.sort_array(F.flatten(F.collect_list("turns"))).alias("turns"), F.count_if(F.col("turns").isNull()).alias("unmapped")).withColumnRenamed("__key", key)
+
+
+def format_records(rows: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
+    """Format the conversations of a table of variant records in any of the LAYOUTS: key, turns, unmapped, formatted
+    (all turns by the template), loss_spans, and what is read back from these, back_turns and loss_texts.
+
+    Null and empty texts and roles are empty; texts of any length are kept whole; equal turns and repeated rows are
+    turns of their own; other columns, whatever their names, are ignored; an empty table gives an empty one.
+    """
+    return read_back(format_turns(gather_conversations(rows, key, record)))
 
 
 def format_rows(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Format a table of one turn a row (key, turn, role, text); other columns are ignored, null texts are empty."""
+    """``format_records`` for a table of one turn a row (key, turn, role, text)."""
     record = F.to_variant_object(F.struct(F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")))
-    return read_back(format_turns(gather_conversations(rows.select(F.col(f"`{key}`"), record.alias("record")), key, "record")))
+    return format_records(rows.select(F.col(f"`{key}`"), record.alias("record")), key)

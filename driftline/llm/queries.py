@@ -25,11 +25,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def chat_records(rows: DataFrame) -> DataFrame:
+    """(conv_id, record) in several layouts from (conv_id, turn, role, text): a conversation of one question and its
+    answer becomes a prompt or an instruction, others lists of messages or single turns, by the conversation's id."""
+    said = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").cast("bigint").alias("turn"), "role", "text"))).alias("said"))
+    asked, answer = "said[0].text", "said[1].text"
+    pair = "size(said) = 2 AND said[0].turn = 0 AND said[0].role = 'user' AND said[1].turn = 1 AND said[1].role = 'assistant'"
+    kinds = {
+        f"pmod(conv_id, 4) = 0 AND {pair}": f"array(to_variant_object(named_struct('prompt', {asked}, 'response', {answer}, 'source', 'table')))",
+        f"pmod(conv_id, 4) = 1 AND {pair}": f"array(to_variant_object(named_struct('instruction', {asked}, 'input', '', 'output', {answer})))",
+        "pmod(conv_id, 4) = 2": "transform(said, t -> to_variant_object(named_struct('turn', t.turn, 'messages', array(named_struct('role', t.role, 'content', t.text, 'weight', 1)))))",
+        "pmod(conv_id, 4) = 3 AND NOT exists(said, t -> t.role IN ('human', 'gpt', 'bot'))": "transform(said, t -> to_variant_object(named_struct('id', conv_id, 'turn', t.turn, 'conversations', array(named_struct('from', CASE t.role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE t.role END, 'value', t.text)))))",
+    }
+    cases = " ".join(f"WHEN {test} THEN {made}" for test, made in kinds.items())
+    return said.select("conv_id", F.explode(F.expr(f"CASE {cases} ELSE transform(said, t -> to_variant_object(t)) END")).alias("record"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    made = chat.format_rows(rows.unionByName(extra))
+    made = chat.format_records(chat_records(rows.unionByName(extra)))
     spoken = F.array_join(F.transform("back_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return made.select("conv_id", F.size("back_turns").cast("long").alias("n_turns"), F.sha2(F.encode(spoken, "utf-8"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(F.encode(loss, "utf-8"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
