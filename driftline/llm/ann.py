@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import checked, materialize
 
 #: Neighbours on the lowest layer and above; list sizes while building and searching; points expanded at a time.
-LOW, HIGH, BUILD_LIST, SEARCH_LIST, AT_ONCE = 32, 16, 64, 160, 4
-#: Rows of a shard at most (on average), least number of shards, queries that one search task holds.
-SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 50_000, 3, 5_000
+LOW, HIGH, BUILD_LIST, SEARCH_LIST, AT_ONCE = 32, 16, 64, 96, 4
+#: Neighbours by which a row may overflow while building before it is spread anew.
+SLACK = 16
+#: Rows of a shard at most (on average), least number of shards, queries that go past one copy of a shard's graph.
+SHARD_ROWS, LEAST_SHARDS, QUERY_PART = 20_000, 3, 200_000
 #: A length band with fewer rows than this for each of the LEAST_SHARDS takes fewer shards.
 LEAST_ROWS = 1_000
 #: Lengths in a shard differ by 2 ** BAND_BITS at most, so float32 tells its distances apart; 1 lies amid a band.
@@ -74,20 +77,25 @@ def beam(points: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, start:
     return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
 
-def spread(points: np.ndarray, centre: np.ndarray, ids: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
-    """Up to ``most`` neighbours for each row: nearest first, passing over those nearer to one already taken than to
-    the row's own point; room that is left goes to the nearest of those passed over."""
+def spread(points: np.ndarray, ids: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` neighbours for each row, given nearest first: those nearer to one already taken than to the row's
+    own point are passed over; room that is left goes to the nearest of these."""
     n, width = ids.shape
+    if not width or not n:
+        return np.full((n, most), -1)
     around = points[ids]
-    sq = (around * around).sum(-1)
-    cross = np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(around, around.transpose(0, 2, 1)), 0)
+    sq = np.einsum("ijk,ijk->ij", around, around)
+    cross = np.matmul(around, around.transpose(0, 2, 1))
+    cross *= -2
+    cross += sq[:, :, None]
+    cross += sq[:, None, :]
     taken = np.zeros((n, width), bool)
     near = np.full((n, width), np.inf, np.float32)
     count = np.zeros(n, int)
     for j in range(width):
-        ok = (ids[:, j] >= 0) & (dist[:, j] < near[:, j]) & (count < most)
-        taken[:, j] = ok
-        count += ok
+        ok = np.flatnonzero((ids[:, j] >= 0) & (dist[:, j] < near[:, j]) & (count < most))
+        taken[ok, j] = True
+        count[ok] += 1
         near[ok] = np.minimum(near[ok], cross[ok, j])
     rank = np.where(ids < 0, 3 * width, np.where(taken, 0, width) + np.arange(width))
     order = np.argsort(rank, axis=1)[:, :most]
@@ -95,28 +103,39 @@ def spread(points: np.ndarray, centre: np.ndarray, ids: np.ndarray, dist: np.nda
     return np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
 
 
-def _link_back(points: np.ndarray, adjacency: np.ndarray, new: np.ndarray) -> None:
-    """Add the reverse of the new points' links; rows that overflow are spread anew."""
-    most = adjacency.shape[1]
-    src = np.repeat(new, most)
-    dst = adjacency[new].ravel()
+def _respread(points: np.ndarray, rows: np.ndarray, pool: np.ndarray, most: int) -> np.ndarray:
+    """The pools of the points ``rows``, in any order, spread to ``most`` neighbours."""
+    d = points[pool] - points[rows][:, None, :]
+    d = np.where(pool < 0, np.inf, np.einsum("ijk,ijk->ij", d, d)).astype(np.float32)
+    order = np.argsort(d, axis=1, kind="stable")
+    return spread(points, np.take_along_axis(pool, order, 1), np.take_along_axis(d, order, 1), most)
+
+
+def _link_back(points: np.ndarray, adjacency: np.ndarray, new: np.ndarray, most: int) -> None:
+    """Add the reverse of the new points' links. Rows have room for more than ``most`` neighbours, and only those that
+    overflow are spread anew."""
+    room = adjacency.shape[1]
+    src, dst = np.repeat(new, most), adjacency[new, :most].ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
+    known = (adjacency[dst] == src[:, None]).any(1)
+    src, dst = src[~known], dst[~known]
+    if not len(dst):
+        return
     order = np.argsort(dst, kind="stable")
     src, dst = src[order], dst[order]
-    first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]]) if len(dst) else np.empty(0, int)
-    for some in np.array_split(first, max(1, len(first) // 512)):
-        if not len(some):
-            continue
-        stop = np.searchsorted(dst, dst[some], side="right")
-        extra = int((stop - some).max())
-        at = some[:, None] + np.arange(extra)
-        more = np.where(at < stop[:, None], src[np.minimum(at, len(src) - 1)], -1)
-        rows = dst[some]
-        more = np.where((more[:, :, None] == adjacency[rows][:, None, :]).any(2), -1, more)
-        pool = np.c_[adjacency[rows], more]
-        d = np.where(pool < 0, np.inf, ((points[pool] - points[rows][:, None, :]) ** 2).sum(-1)).astype(np.float32)
-        order = np.argsort(d, axis=1, kind="stable")
-        adjacency[rows] = spread(points, points[rows], np.take_along_axis(pool, order, 1), np.take_along_axis(d, order, 1), most)
+    rows, first, extra = np.unique(dst, return_index=True, return_counts=True)
+    held = (adjacency[rows] >= 0).sum(1)
+    fits = np.repeat(held + extra <= room, extra)
+    at = np.repeat(held - first, extra) + np.arange(len(dst))
+    adjacency[dst[fits], at[fits]] = src[fits]
+    over = np.flatnonzero(held + extra > room)
+    for some in np.array_split(over, max(1, len(over) // 512)):
+        if len(some):
+            step = np.arange(int(extra[some].max()))
+            more = np.where(step < extra[some][:, None], src[np.minimum(first[some][:, None] + step, len(src) - 1)], -1)
+            pool = np.c_[adjacency[rows[some]], more]
+            adjacency[rows[some]] = -1
+            adjacency[rows[some], :most] = _respread(points, rows[some], pool, most)
 
 
 def build(points: np.ndarray, seed: int = 5) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -131,7 +150,7 @@ def build(points: np.ndarray, seed: int = 5) -> tuple[np.ndarray, list[np.ndarra
     for k, own in enumerate(members):
         most = HIGH if k else LOW
         x = points[own]
-        rows = np.full((len(own), most), -1)
+        rows = np.full((len(own), most + SLACK), -1)
         for a in range(0, len(own), BATCH):
             new = np.arange(a, min(a + BATCH, len(own)))
             inside = _nearest(x[new], x[new]).astype(np.float32)
@@ -144,9 +163,12 @@ def build(points: np.ndarray, seed: int = 5) -> tuple[np.ndarray, list[np.ndarra
                 ids, dist = np.c_[found, ids], np.c_[far, dist]
             best = np.argsort(dist, axis=1, kind="stable")[:, :BUILD_LIST]
             ids, dist = np.take_along_axis(ids, best, 1), np.take_along_axis(dist, best, 1)
-            rows[new] = spread(x, x[new], np.where(np.isfinite(dist), ids, -1), dist, most)
-            _link_back(x, rows, new)
-        layers.append(rows)
+            rows[new, :most] = spread(x, np.where(np.isfinite(dist), ids, -1), dist, most)
+            _link_back(x, rows, new, most)
+        full = np.flatnonzero(rows[:, most] >= 0)
+        for some in np.array_split(full, -(-len(full) // 512)) if len(full) else ():
+            rows[some, :most] = _respread(x, some, rows[some], most)
+        layers.append(rows[:, :most].copy())
     return members[:0:-1], layers[::-1]
 
 
@@ -210,42 +232,65 @@ def build_index(rows: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
     return materialize(keyed.groupBy("dim", "band", "shard").applyInPandas(run, "dim int, band int, shard int, v binary, ids binary, counts binary, layers int, sizes binary, links binary"), "graphs")
 
 
+class Graph:
+    """A shard's row of ``build_index`` as arrays."""
+
+    def __init__(self, g: dict):
+        self.v = np.frombuffer(g["v"]).reshape(-1, int(g["dim"]))
+        self.counts, self.ids = np.frombuffer(g["counts"], np.int32), np.frombuffer(g["ids"], np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        parts = np.split(np.frombuffer(g["links"], np.int32).astype(np.int64), np.cumsum(np.frombuffer(g["sizes"], np.int64))[:-1])
+        n = g["layers"]
+        self.members = parts[: n - 1]
+        self.layers = [x.reshape(-1, LOW if i == n - 1 else HIGH) for i, x in enumerate(parts[n - 1 :])]
+        self.points = _flat(self.v)
+
+    def top(self, own: np.ndarray, q: np.ndarray, k: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query_id, vec_id, score) of the best ``k`` found for each of the queries ``q`` with the ids ``own``."""
+        even = q / np.abs(q).max(axis=1, keepdims=True)
+        even /= np.sqrt((even * even).sum(1, keepdims=True))
+        found = search(self.points, self.members, self.layers, np.c_[even, np.zeros(len(q))].astype(np.float32), width)
+        for one, vec, row in zip(own, q, found, strict=True):
+            row = row[row >= 0]
+            score = np.repeat(np.einsum("ij,j->i", self.v[row], vec), self.counts[row])
+            n = self.counts[row]
+            each = self.ids[np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            score, each = score[each != one], each[each != one]
+            best = np.lexsort((each, -score))[:k]
+            yield np.full(len(best), one), each[best], score[best]
+
+
 def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_LIST) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query (id, v) goes to every shard of its length, and results are merged."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    where = index.select(F.col("dim").alias("__dim"), F.col("band").alias("__band"), F.col("shard").alias("__shard"))
-    dealt = queries.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = dealt.join(checked(where), F.col("dim") == F.col("__dim")).select("id", "v", "block", F.col("__dim").alias("dim"), F.col("__band").alias("band"), F.col("__shard").alias("shard"))
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(asked) and len(graph):
-            g = graph.iloc[0]
-            v = np.frombuffer(g.v).reshape(-1, int(g.dim))
-            counts = np.frombuffer(g.counts, np.int32)
-            first, ids = np.r_[0, np.cumsum(counts)], np.frombuffer(g.ids, np.int64)
-            parts = np.split(np.frombuffer(g.links, np.int32).astype(np.int64), np.cumsum(np.frombuffer(g.sizes, np.int64))[:-1])
-            members, flat = parts[: g.layers - 1], parts[g.layers - 1 :]
-            layers = [x.reshape(-1, LOW if i == g.layers - 1 else HIGH) for i, x in enumerate(flat)]
-            points = _flat(v)
-            for a in range(0, len(asked), BATCH):
-                some = asked.iloc[a : a + BATCH]
-                q = np.stack(some.v.to_numpy()).astype(np.float64)
-                even = q / np.abs(q).max(axis=1, keepdims=True)
-                even /= np.sqrt((even * even).sum(1, keepdims=True))
-                found = search(points, members, layers, np.c_[even, np.zeros(len(q))].astype(np.float32), width)
-                for own, vec, row in zip(some.id, q, found, strict=True):
-                    row = row[row >= 0]
-                    score = np.einsum("ij,j->i", v[row], vec)
-                    each = np.concatenate([ids[first[i] : first[i + 1]] for i in row])
-                    score = np.repeat(score, counts[row])
-                    score, each = score[each != own], each[each != own]
-                    best = np.lexsort((each, -score))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": each[best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = dealt.groupBy("dim", "band", "shard", "block").cogroup(graphs.groupBy("dim", "band", "shard", "block")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
+    """(query_id, rank, vec_id, score): each query (id, v) is sent to every shard of its number of components, and the
+    shards' results are merged. A task loads a graph and lets the queries stream past it."""
+    parts = max(1, -(-queries.count() // QUERY_PART))
+    place = ["dim", "band", "shard", "part"]
+    where = index.select("dim", "band", "shard")
+    dealt = queries.withColumn("dim", F.size("v")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).join(checked(where), "dim")
+    graphs = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(*place, F.struct(*[F.col(c) for c in index.columns if c != "v"], "v").alias("graph"))
+    kind = dict(graphs.dtypes)["graph"]
+    both = graphs.select(*place, F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<double>").alias("q"), "graph").unionByName(dealt.select(*place, "id", F.col("v").alias("q"), F.lit(None).cast(kind).alias("graph")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = graph = None
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], 1)
+            new = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1) | new[1:] | new[:-1]])
+            for low, high in zip(edge, np.r_[edge[1:], batch.num_rows], strict=True):
+                if new[low]:
+                    at, graph = key[low].tolist(), Graph(batch.column(6)[int(low)].as_py())
+                    continue
+                if graph is None or at != key[low].tolist():
+                    raise RuntimeError("queries came before their graph")
+                for a in range(low, high, BATCH):
+                    some = batch.slice(a, min(BATCH, high - a))
+                    q = some.column(5).flatten().to_numpy().reshape(some.num_rows, -1)
+                    one, each, score = (np.concatenate(x) for x in zip(*graph.top(some.column(4).to_numpy(), q, k, width), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(each), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts * index.count())
+    found = both.repartition(tasks, *place).sortWithinPartitions(*place, F.col("id").asc_nulls_first()).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
