@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import spread
+
 # Fixed values of the HTML standard: elements by how they are parsed and laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -28,6 +32,8 @@ SCOPES = frozenset("table td th caption button object template html body".split(
 
 #: Tables nested deeper than this are laid out as plain blocks.
 TABLE_DEPTH = 50
+#: Widest cell and line that count for alignment; the standard's most columns of a cell, also the last that rows share.
+CELL_WIDTH, LINE_WIDTH, MOST_COLUMNS = 120, 1000, 1000
 
 # An attribute: a quote opens a value only right after "=" (and white space), elsewhere it is a part of a name or value.
 _ATTRIBUTE_TEXT = r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+))?+)?+"
@@ -45,25 +51,42 @@ class Node:
         self.hidden = tag in HIDDEN or "hidden" in attributes or attributes.get("aria-hidden") == "true" or tag == "input" or bool("style" in attributes and _GONE.search(attributes["style"]))
 
 
+class Stack:
+    """The open elements, and where on the stack each kind of tag is open, so a look for a tag takes no walk."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, low: int) -> None:
+        for node in self.nodes[low:]:
+            self.places[node.tag].pop()
+        del self.nodes[low:]
+
+    def last(self, kinds: Iterable[str]) -> int:
+        """The place of the innermost open tag of these kinds, 0 if there is none above the root."""
+        return max((self.places[k][-1] for k in kinds if self.places.get(k)), default=0)
+
+    def close(self, kinds: tuple[str, ...], barriers: Iterable[str]) -> None:
+        """Close the innermost element of these kinds, and those of them right around it, unless a barrier is inside."""
+        low = self.last(kinds)
+        if low > self.last(barriers):
+            while low > 1 and self.nodes[low - 1].tag in kinds:
+                low -= 1
+            self.cut(low)
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Tags that are not closed are closed where the next tag implies it; stray ones are ignored."""
     root = Node("html", {})
-    stack, at, last = [root], 0, len(page)
-
-    def close(kinds: tuple[str, ...], barriers: frozenset[str] | tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in barriers:
-                return
-            if stack[i].tag in kinds:
-                low = i
-                while low > 1 and stack[low - 1].tag in kinds and stack[low - 1].tag not in barriers:
-                    low -= 1
-                del stack[low:]
-                return
+    stack, at, last = Stack(root), 0, len(page)
 
     def leave_head() -> None:
-        if stack[-1].tag == "head":
-            stack.pop()
+        if stack.nodes[-1].tag == "head":
+            stack.cut(len(stack.nodes) - 1)
 
     while at < last:
         m = _TAG.search(page, at)
@@ -71,7 +94,7 @@ def parse(page: str) -> Node:
         if text:
             if not text.isspace():
                 leave_head()
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            stack.nodes[-1].children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -83,37 +106,33 @@ def parse(page: str) -> Node:
                 continue
             if tag == "br":
                 leave_head()
-                stack[-1].children.append(Node("br", {}))
+                stack.nodes[-1].children.append(Node("br", {}))
             else:
                 barriers = ("table",) if tag in ("tr", "tbody", "thead", "tfoot") else SCOPES - {tag} if tag != "table" else ()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in barriers:
-                        break
+                if (low := stack.last((tag,))) > stack.last(barriers):
+                    stack.cut(low)
             continue
         attributes = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {}
         if tag in ("html", "body"):
-            close(("head",), ())
+            stack.close(("head",), ())
             if tag == "body" and Node(tag, attributes).hidden:
                 root.hidden = True
             continue
         if tag not in HEAD_CONTENT:
             leave_head()
         if tag in IMPLIED:
-            close(*IMPLIED[tag])
+            stack.close(*IMPLIED[tag])
         if tag in CLOSES_P:
-            close(("p",), SCOPES)
+            stack.close(("p",), SCOPES)
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             inner = page[at : end.start() if end else last]
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             at = end.end() if end else last
         elif tag not in VOID:
-            stack.append(node)
+            stack.push(node)
     return root
 
 
@@ -160,10 +179,56 @@ class Lines:
         self.gap = max(self.gap, gap)
 
 
+def _span(node: Node, name: str, most: int) -> int:
+    said = node.attributes.get(name, "1").strip()
+    return min(int(said), most) if re.fullmatch(r"[0-9]{1,9}", said) else 1
+
+
+def aligned(rows: list[list[tuple[int, int, str]]]) -> list[str]:
+    """Rows of cells (column, columns spanned, text) as lines. Columns in which no cell begins take no room; a text
+    that is wider than the columns it spans widens the last of them.
+
+    Texts beyond CELL_WIDTH don't widen a column, and columns beyond LINE_WIDTH aren't aligned: there cells follow
+    after two spaces, so lines stay in proportion to their text.
+    """
+    begins = sorted({c for row in rows for c, _, _ in row})
+    place = {c: i for i, c in enumerate(begins)}
+    cells = [[(place[c], bisect.bisect_left(begins, c + n) - place[c], text) for c, n, text in sorted(row)] for row in rows]
+    width = [0] * len(begins)
+    for at, n, text in sorted((x for row in cells for x in row if len(x[2]) <= CELL_WIDTH), key=lambda x: x[1]):
+        width[at + n - 1] += max(0, len(text) - sum(width[at : at + n]) - 2 * (n - 1))
+    start = list(itertools.accumulate((w + 2 for w in width), initial=0))
+    lines = []
+    for row in cells:
+        line: list[str] = []
+        long = 0
+        for at, _, text in row:
+            if text:
+                gap = start[at] - long if long + 2 <= start[at] <= LINE_WIDTH or not long and start[at] <= LINE_WIDTH else 2 * bool(long)
+                line += [" " * gap, text]
+                long += gap + len(text)
+        lines.append("".join(line))
+    return lines
+
+
 def _table(node: Node, depth: int) -> list[str]:
-    """Rows of a table as lines, cells padded to the width of their column; a cell's lines are joined by a space."""
-    rows: list[list[str]] = []
+    """Rows of a table as lines, each cell beginning at its column; a cell's lines are joined by a space. Cells that
+    span rows keep their columns free in the rows below."""
+    rows: list[list[tuple[int, int, str]]] = []
     notes: list[str] = []
+    taken: dict[int, int] = {}  # column: last row that a cell from above covers
+
+    def add(nodes: list[Node]) -> None:
+        row, column = [], 0
+        for x in nodes:
+            while taken.get(column, -1) >= len(rows):
+                column += 1
+            wide, high = max(1, _span(x, "colspan", MOST_COLUMNS)), _span(x, "rowspan", 65534)
+            row.append((column, wide, " ".join(line.strip() for line in lay_out(x, depth) if line.strip())))
+            if high != 1 and column < MOST_COLUMNS:
+                taken.update(dict.fromkeys(range(column, column + wide), len(rows) + (high or 65534) - 1))
+            column += wide
+        rows.append(row)
 
     def walk(n: Node) -> None:
         for c in n.children:
@@ -173,25 +238,18 @@ def _table(node: Node, depth: int) -> list[str]:
             elif c.hidden:
                 continue
             elif c.tag == "tr":
-                cells = []
-                for x in c.children:
-                    if isinstance(x, str):
-                        if x.strip():
-                            notes.append(_BLANK.sub(" ", x).strip())
-                    elif not x.hidden:
-                        cells.append(" ".join(line.strip() for line in lay_out(x, depth) if line.strip()))
-                rows.append(cells)
+                notes.extend(_BLANK.sub(" ", x).strip() for x in c.children if isinstance(x, str) and x.strip())
+                add([x for x in c.children if not isinstance(x, str) and not x.hidden])
             elif c.tag in ("tbody", "thead", "tfoot"):
                 walk(c)
+                taken.clear()
             elif c.tag in ("td", "th"):
-                rows.append([" ".join(line.strip() for line in lay_out(c, depth) if line.strip())])
+                add([c])
             else:
                 notes.extend(line for line in lay_out(c, depth) if line)
 
     walk(node)
-    rows = [r for r in rows if any(r)]
-    width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    return notes + ["  ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip() for r in rows]
+    return notes + aligned([r for r in rows if any(text for *_, text in r)])
 
 
 def lay_out(root: Node, depth: int = 0) -> list[str]:
@@ -256,8 +314,9 @@ def render(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
-    """(key, text, n_lines) for every row of ``pages``; null pages give an empty text and no line, repeated rows and
-    null keys are passed through, other columns are left out."""
+    """(key, text, n_lines) for every row of ``pages``; null and empty pages give an empty text and no line, repeated
+    rows and null keys are passed through, pages of any length are read whole, other columns (also those named like the
+    result's) are left out, and an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,4 +325,4 @@ def extract(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataF
                 texts = [render(p) for p in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())], names=[key, "text", "n_lines"])
 
-    return pages.select(key, page).mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, text string, n_lines bigint")
+    return spread(pages.select(key, page)).mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, text string, n_lines bigint")
