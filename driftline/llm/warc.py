@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,14 @@ INDEX = "file string, offset bigint, length bigint, url string, digest string, p
 VERSION, PROFILE, DATE = b"WARC/1.1\r\n", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"1970-01-01T00:00:00Z"
 
 
+def open_store(folder: str):
+    """The pyarrow file system and root of a folder. Stores that Spark reads by Hadoop's names for S3 are opened by
+    pyarrow's; a scheme that pyarrow has no store for raises its error, and ``folder`` has to name another one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder if "://" in folder else re.sub(r"^(?:file:)?/+", "file:///", folder)))
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -76,14 +85,14 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write a record per row of ``pages`` and return the index: file, offset, length, url, digest, page_id, type.
 
     ``folder`` is a URI that all executors reach (by default a new one in the shared folder). Each attempt of a task
-    writes files of its own, and the index, written as a table, names those of the attempts that counted.
+    writes files of its own, and the index, written as a table, names those of the attempts that counted. Null and empty
+    pages have empty payloads, pages of any length are one record, repeated rows are records of their own, other columns
+    (also those named like the index's) are left out, and an empty table gives an empty index.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         out, offset, part = None, 0, 0
@@ -114,7 +123,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def read_archives(index: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records that ``index`` selects, read by sorted byte ranges in which near records are coalesced."""
+    """The records that ``index`` selects, read by sorted byte ranges in which near records are coalesced. Rows that
+    repeat a record read it again; further columns of ``index`` don't matter; an empty index gives an empty table."""
     by_file = Window.partitionBy("file").orderBy("offset")
     gap = F.col("offset") - F.lag(F.col("offset") + F.col("length")).over(by_file)
     marked = index.withColumn("__gap", F.coalesce(gap, F.lit(0)) > GAP_BYTES)
@@ -122,11 +132,9 @@ def read_archives(index: DataFrame, payloads: bool = False) -> DataFrame:
     ranges = grouped.groupBy("store", "file", "__part", "__size").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for frame in frames:
             for r in frame.itertuples(index=False):
-                store, _ = fs.FileSystem.from_uri(r.store)
+                store, _ = open_store(r.store)
                 with store.open_input_file(r.file) as f:
                     f.seek(int(r.start))
                     data = f.read(int(r.end - r.start))
