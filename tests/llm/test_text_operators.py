@@ -1,5 +1,6 @@
 """Packing, fingerprints, token counts, mixing and quality rules against brute force on small fixtures."""
 
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import components, mixing, packing, quality, simhash, token_counts
+from driftline.functions import scratch
+from driftline.llm import components, mixing, packing, quality, shared, simhash, token_counts
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, words string"
@@ -133,9 +135,22 @@ def test_simhash_rows(docs):
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
 
 
-@pytest.mark.parametrize("large", [512, 4])
-def test_fingerprint_links(spark, monkeypatch, large):
+def test_position_sets_meet_every_four_positions():
+    for width, n in ((3, 20), (4, 70)):
+        sets = simhash.position_sets(width).tolist()
+        assert len(sets) == n and all(any(set(x) <= set(four) for x in sets) for four in itertools.combinations(range(8), 4))
+
+
+def test_count_filter_passes_over_pairs_with_few_shared_bytes():
+    a = np.zeros(4, np.int64)
+    b = np.array([0x01010101, 0x0101010101, 0x0101, 0x1F], np.int64)  # 4, 3, 6 and 7 bytes shared; 4, 5, 2 and 5 bits
+    assert simhash.linked(a, b).tolist() == [True, False, True, False]
+
+
+@pytest.mark.parametrize(("large", "wide"), [(2048, 1 << 27), (4, 1 << 27), (2048, 0), (4, 0)])
+def test_fingerprint_links(spark, monkeypatch, large, wide):
     monkeypatch.setattr(simhash, "LARGE_POSTING", large)
+    monkeypatch.setattr(simhash, "WIDE_FROM", wide)
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, 12, dtype=np.uint64)
     prints = set(rng.integers(0, 2**63, 150, dtype=np.uint64).tolist()) | {0}
@@ -167,16 +182,38 @@ def test_simhash_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_hot_keys_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "LEAST_HOT", 3)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(1, 40)] + [(900, 901)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for e in edges[:-1] for i in e} | {900: 900, 901: 900}
+    rows = spark.createDataFrame([(i % 7 if i < 60 else 7, f"text of {'many' if i > 20 else 'some'} words {i % 3}") for i in range(200)], "doc_id long, text string")
+    prints = [brute_print(r.text) for r in rows.collect()]
+    keys = [r.doc_id for r in rows.collect()]
+    want = Counter((k, f"{p:016x}", c) for k, p, c in zip(keys, prints, brute_components(keys, prints), strict=True))
+    assert Counter(map(tuple, simhash.near_duplicates(rows).collect())) == want
+
+
 def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     rows = docs.select("doc_id", "text").collect()
     prints = [brute_print(r.text) for r in rows]
-    want = {c for c in brute_components([r.doc_id for r in rows], prints) if c is not None}
+    want = [c for c in set(brute_components([r.doc_id for r in rows], prints)) if c is not None]
     got = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
 
 
+def test_keep_one_of_shared_and_missing_keys(spark):
+    """Rows that share a key but no component stay apart; without keys one row of a component stays."""
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "one two three four five six"]
+    rows = [(1, texts[0], "x"), (1, texts[1], "x"), (1, texts[1], "x"), (2, texts[0], "y"), (None, "a b c d e f g", "p"), (None, "a b c d e f g", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = sorted(map(tuple, simhash.keep_one(df).collect()), key=repr)
+    assert got[:2] == [(1, texts[0], "x"), (1, texts[1], "x")] and len(got) == 3 and got[2][:2] == rows[4][:2]
+    assert sorted(map(tuple, simhash.keep_one(df.repartition(5)).collect()), key=repr) == got
+
+
 def test_token_counts_match_library(docs):
     tokenizer = Tokenizer.from_file(BYTE_BPE)
     want = Counter((r.doc_id, len((r.text or "").encode()), n := len(tokenizer.encode(r.text or "", add_special_tokens=False)), n > 1024) for r in docs.collect())
@@ -191,6 +228,16 @@ def test_token_counts_of_odd_texts():
     assert merger.counts(texts) == [len(tokenizer.encode(t, add_special_tokens=False)) for t in texts]
 
 
+def test_clashing_names(spark):
+    rows = [(1, "a b", 3, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int, n_tokens int, fp int, size int")
+    assert packing.pack(df, WORD_BPE).columns[:2] == ["doc_id", "start"] and token_counts.count_tokens(df, BYTE_BPE).first().n_tokens == 2
+    assert simhash.near_duplicates(df).first().component_id == 1 and simhash.keep_one(df).collect() == df.collect() and mixing.mix(df.withColumn("source", F.lit("s"))).first()["size"] == 2
+    odd = spark.createDataFrame([(1, "a b", "s", 7, 8)], "doc_id long, text string, source string, row int, `at` int")
+    assert mixing.mixed(odd, length=None).columns == odd.columns
+    assert token_counts.count_tokens(df.limit(0), BYTE_BPE).count() == packing.pack(df.limit(0), WORD_BPE).count() == 0
+
+
 def test_token_counts_with_a_small_store(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHED", 5)
     tokenizer, merger = Tokenizer.from_file(BYTE_BPE), token_counts.Merger(BYTE_BPE)
@@ -249,11 +296,52 @@ def test_mixed_texts_hold_the_words_taken(docs):
     assert {k for k in got if k is not None} <= set(want)
 
 
-def test_draws_do_not_depend_on_groups_of_shards(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1024, 5])
+def test_mix_does_not_depend_on_files(docs, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    want = Counter(map(tuple, mixing.mix(docs).collect()))
+    assert Counter(map(tuple, mixing.mix(docs.orderBy(F.desc("doc_id")).repartition(7)).collect())) == want
+    assert Counter(map(tuple, mixing.mixed(docs.repartition(7)).collect())) == Counter(map(tuple, mixing.mixed(docs).collect()))
+
+
+def test_slots_follow_the_draw(spark, monkeypatch):
+    """A shard takes as many blocks of a source as the multinomial draw says, and all slots are those of the targets."""
     targets = spark.createDataFrame([("a", 0, 64_000, 96_000.0), ("b", 1, 777, 1554.0), ("c", 2, 50, 0.0)], "source string, sid bigint, source_size bigint, target double")
-    one = sorted(map(repr, mixing.drawn_blocks(targets, 1).collect()))
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    one = sorted((r.sid, r.k, r.block, r.words) for r in mixing.drawn_slots(targets, 10).collect())
     monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
-    assert sorted(map(repr, mixing.drawn_blocks(targets, 10).collect())) == one and len(one) > 1000
+    slots = mixing.drawn_slots(targets, 10).collect()
+    assert sorted((r.sid, r.k, r.block, r.words) for r in slots) == one
+    sizes = np.array([3, 3, 3, 1])
+    for sid, n in ((0, 12_000), (1, 196)):
+        groups = np.random.default_rng([mixing.SEED, sid]).multinomial(n, sizes / 10)
+        want = np.concatenate([np.random.default_rng([mixing.SEED, sid, g + 1]).multinomial(c, np.full(m, 1 / m)) for g, (c, m) in enumerate(zip(groups, sizes, strict=True))])
+        got = Counter(r.shard for r in slots if r.sid == sid)
+        assert [got[i] for i in range(10)] == want.tolist()
+    times = Counter((r.sid, r.block) for r in slots)
+    assert max(times.values()) == 2 and not any(r.sid == 2 for r in slots)
+
+
+def test_blocks_of_shards_against_brute_force(docs, monkeypatch):
+    """Lay each source's words out in the order of the rows' hashes, cut them into blocks and take the slots' blocks:
+    the words of each shard's slots are those of the operator."""
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    hashed = docs.select("*", shared.row_hash(docs, 1).alias("h1"), shared.row_hash(docs, 2).alias("h2")).collect()
+    order = sorted({r.source for r in hashed}, key=lambda s: (s is None, (s or "").encode()))
+    streams = [[w for r in sorted((r for r in hashed if r.source == s), key=lambda r: (r.h1, r.h2)) for w in words(r.text)] for s in order]
+    target = brute_targets({s: len(x) for s, x in zip(order, streams, strict=True)})
+    shards = max(1, -(-int(1.5 * sum(map(len, streams))) // 1600))
+    frame = docs.sparkSession.createDataFrame([(s or "", i, len(streams[i]), float(target[s])) for i, s in enumerate(order)], "source string, sid bigint, source_size bigint, target double")
+    want = Counter((r.shard, w) for r in mixing.drawn_slots(frame, shards).collect() for w in streams[r.sid][16 * r.block : 16 * r.block + r.words])
+    made = mixing.blocks(docs).collect()
+    assert Counter((r.shard, w) for r in made for w in words(r.row.text)) == want and len({r.shard for r in made}) == shards > 3
+    slots = defaultdict(list)
+    for r in made:
+        slots[r.shard, r.slot].append((r.start, len(words(r.row.text))))
+    for parts in slots.values():
+        parts.sort()
+        assert sum(n for _, n in parts) <= 16 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False))
 
 
 def test_mix_empty(spark):
@@ -272,11 +360,11 @@ def test_permutation_and_slots():
     for _ in range(300):
         size = int(rng.integers(1, 1000))
         want = int(rng.integers(0, 2 * size + 1))
-        blocks, slots, last = mixing.slots_of(size, want, 3)
+        blocks, slots, last = mixing.slots_of(size, want, 3, 64)
         got = 0
         for k in range(slots):
             b = int(mixing.permute(np.array([k % blocks]), blocks, mixing._key(3, k // blocks))[0])
-            whole = min(mixing.BLOCK, size - b * mixing.BLOCK)
+            whole = min(64, size - b * 64)
             got += min(whole, last) if k == slots - 1 else whole
         assert got == want
 
