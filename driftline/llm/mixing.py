@@ -211,11 +211,19 @@ def blocks(docs: DataFrame, text: str = "text", source: str = "source", length:
     shard's blocks in a pseudorandom order, start the parts of a block in that of the source.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = materialize(docs.select(whole.alias("row"), F.monotonically_increasing_id().alias("id"), F.col(f"`{source}`").alias("source"), F.size(word_array(F.col(f"`{text}`"))).cast("long").alias("size"), row_hash(docs, 1).alias("h1"), row_hash(docs, 2).alias("h2")), "rows")
-    placed, shards = placed_rows(rows.drop("row"))
-    placed = materialize(placed.select("id", "sid", "size", "source_size", "target", "at"), "placed")
+    rows = docs.select(whole.alias("row"), row_hash(docs, 1).alias("h1"), row_hash(docs, 2).alias("h2"))
+    sizes = materialize(docs.select(F.col(f"`{source}`").alias("source"), F.size(word_array(F.col(f"`{text}`"))).cast("long").alias("size"), row_hash(docs, 1).alias("h1"), row_hash(docs, 2).alias("h2")), "sizes")
+    placed, shards = placed_rows(sizes)
+    placed = materialize(placed.select("h1", "h2", "sid", "size", "source_size", "target", "at"), "placed")
     part = F.struct("shard", F.xxhash64("shard", "sid", "k").alias("slot"), (F.col("at") + F.col("low")).alias("start"), "low", "high")
-    taken = joined_blocks(placed, shards, "inner").groupBy("id").agg(F.collect_list(part).alias("parts"))
+    # equal rows have the same hashes: one of them stands for all, with the parts of all
+    taken = joined_blocks(placed, shards, "inner").groupBy("h1", "h2").agg(F.max("size").alias("size"), F.collect_list(part).alias("parts"))
+    copies = materialize(sizes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "copies")
+    known = rows.join(taken, ["h1", "h2"])
+    if not copies.isEmpty():
+        copies = checked(copies)
+        folded = known.join(copies, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("row", "size", "parts")])
+        known = known.join(copies, ["h1", "h2"], "left_anti").unionByName(folded)
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +245,7 @@ def blocks(docs: DataFrame, text: str = "text", source: str = "source", length:
                 yield pa.RecordBatch.from_arrays([*places, pa.StructArray.from_arrays(made, fields=list(some.schema.field(0).type))], names=["shard", "slot", "start", "row"])
 
     kinds = dict(rows.dtypes)["row"]
-    return rows.join(taken, "id").select("row", "size", "parts").mapInArrow(run, f"shard bigint, slot bigint, start bigint, row {kinds}")
+    return known.select("row", "size", "parts").mapInArrow(run, f"shard bigint, slot bigint, start bigint, row {kinds}")
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", length: str | None = "n_chars") -> DataFrame:
