@@ -47,6 +47,11 @@ def width_of(eps: Column, scale: Column) -> Column:
     return F.when((eps == INF) | (scale == INF), F.lit(INF)).otherwise(eps * scale)
 
 
+def cert_eps(eps: Column, by_region: bool) -> Column:
+    """The radius that a certificate scales: the region's, or 1 for all regions with a finite one."""
+    return eps if by_region else F.when(eps == INF, eps).otherwise(F.lit(1.0))
+
+
 def lower_bound(d: Column, exact: Column, width: Column) -> Column:
     return F.when(exact, d).when(width == INF, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), d - width))
 

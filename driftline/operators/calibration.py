@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import vectors as V
-from driftline.functions.stats import INF, conformal_quantiles
+from driftline.functions.rank import numbered
+from driftline.functions.stats import INF, conformal_quantiles, conformal_rank
 
 
 def region_radii(pairs: DataFrame, regions: DataFrame, alpha: float) -> DataFrame:
@@ -35,6 +36,9 @@ def query_scores(candidates: DataFrame) -> DataFrame:
 
 
 def view_scale(scores: DataFrame, alpha: float) -> DataFrame:
-    """One row, lam: the conformal quantile of the scores; infinite without queries."""
-    found = conformal_quantiles(scores.withColumn("__all", F.lit(1)), ["__all"], "score", alpha, "lam")
-    return found.agg(F.coalesce(F.max("lam"), F.lit(INF)).alias("lam"), F.coalesce(F.max("m"), F.lit(0)).alias("m"))
+    """One row, lam: the conformal quantile of the scores (qid, score); infinite without queries. Scores are ranked by
+    ranges, so no task holds them all."""
+    ranked = numbered(scores.filter(F.col("score").isNotNull()), [F.col("score"), F.col("qid")], "__r")
+    n = ranked.agg(F.count(F.lit(1)).alias("m"))
+    hit = F.max(F.when(F.col("__r") == conformal_rank(F.col("m"), alpha), F.col("score")))
+    return ranked.join(F.broadcast(n)).agg(F.coalesce(hit, F.lit(INF)).alias("lam"), F.count(F.lit(1)).alias("m"))

@@ -6,22 +6,78 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.rank import numbered
+from driftline.functions.stats import auroc
 
 SLACK = 1e-12
 
 
 def summarize(log: DataFrame) -> DataFrame:
-    """One row of means and percentiles over a request log; certificate metrics use the rows with a bound."""
+    """One row of means and percentiles over a request log; certificate metrics use the rows with a bound.
+
+    auroc_bound ranks certified requests by their bound against a recall below one, auroc_confidence all requests by
+    their confidence; both are null unless both classes occur, or where the log has no such column.
+    """
     cert = F.col("bound").isNotNull()
     mean = lambda c: F.round(F.avg(F.when(cert, c.cast("double"))), 6)
     cpu = F.avg(F.when(F.col("cpu") > 0, F.col("cpu")))
-    return log.agg(
+    wrong = F.col("recall") < 1 - SLACK
+    ranks = [auroc(log.filter(F.col(c).isNotNull()).select(wrong.alias("p"), (-F.col(c)).alias("s")), "p", "s").select(F.round("auroc", 6).alias(f"auroc_{c}")) for c in ("bound", "confidence") if c in log.columns]
+    out = log.agg(
         F.count(F.lit(1)).alias("requests"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg((F.col("requested") > 0).cast("double")), 6).alias("resolution_rate"),
         F.round(F.avg(((F.col("resolved") > 0) | (F.col("waited") > 0)).cast("double")), 6).alias("wait_rate"),
         F.round(F.percentile(F.col("latency") * 1000, 0.5), 6).alias("p50_ms"), F.round(F.percentile(F.col("latency") * 1000, 0.99), 6).alias("p99_ms"), F.round(1 / cpu, 6).alias("qps_per_core"),
         mean(F.col("bound")).alias("mean_bound"), mean(F.col("examined_recall") < F.col("bound") - SLACK).alias("m1"), mean(F.col("recall") < F.col("bound") - SLACK).alias("m2"), mean(F.col("bound") >= 1).alias("fully_certified"),
         F.round(F.avg(F.when(cert, F.col("recall"))) - F.avg("bound"), 6).alias("gap"), mean(F.col("score") > F.col("lam")).alias("miss"), mean(F.col("capture")).alias("capture"),
     )
+    for r in ranks:
+        out = out.join(F.broadcast(r))
+    return out
+
+
+def phases(log: DataFrame) -> DataFrame:
+    """One row: mean recall by phase of a migration (phase, recall), and what of the distance between the start and the
+    end each phase has closed."""
+    mean = {p: F.avg(F.when(F.col("phase") == p, F.col("recall"))) for p in ("seed_off", "seed_res", "f25", "native")}
+    out = log.agg(*[F.round(m, 6).alias(p) for p, m in mean.items()])
+    span = F.nullif(F.col("native") - F.col("seed_off"), F.lit(0.0))
+    return out.withColumn("closed_res", F.round((F.col("seed_res") - F.col("seed_off")) / span, 6)).withColumn("closed_f25", F.round((F.col("f25") - F.col("seed_off")) / span, 6))
+
+
+def by_group(log: DataFrame, key: str) -> DataFrame:
+    """Certificate metrics for each value of ``key`` (workload, variant or scheduler): requests, recall, mean bound,
+    share of bounds above the recall over examined and over all items, gap and fully certified share."""
+    mean = lambda c: F.round(F.avg(F.when(F.col("bound").isNotNull(), c.cast("double"))), 6)
+    return log.groupBy(key).agg(
+        F.count(F.lit(1)).alias("requests"), F.round(F.avg("recall"), 6).alias("recall"), mean(F.col("bound")).alias("mean_bound"), mean(F.col("examined_recall") < F.col("bound") - SLACK).alias("m1"),
+        mean(F.col("recall") < F.col("bound") - SLACK).alias("m2"), mean(F.col("recall") - F.col("bound")).alias("gap"), mean(F.col("bound") >= 1).alias("fully_certified"),
+    )
+
+
+def bound_budgets(log: DataFrame, key: str, per_unit: float, target: float) -> DataFrame:
+    """For each value of ``key`` of (key, seq, bound) the requests, in units of ``per_unit``, until a bound first reaches
+    the target; null if none does."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
+    first = log.withColumn("__k", rank).groupBy(key)
+    return first.agg(F.round(F.min(F.when(F.col("bound") >= target, F.col("__k") / per_unit)), 6).alias(f"to_{round(target * 1000):04d}"))
+
+
+def variants(candidates: DataFrame, lam: DataFrame, k: int) -> DataFrame:
+    """(variant, qid, bound): certificates of the same candidates (qid, item_id, d, exact, d_star, eps, r) in five
+    variants: as they are, with one width for all regions, without the scale of the view, from the inner count alone,
+    and from the outer count alone."""
+    from driftline.functions import vectors as V
+    from driftline.operators.search import certify
+
+    both = candidates.join(F.broadcast(lam.select("lam")))
+    full = certify(both.withColumn("w", V.width_of(F.col("eps"), F.col("lam"))), k)
+    flat = certify(both.withColumn("w", F.when(F.col("eps") < float("inf"), F.col("lam")).otherwise(F.col("eps"))), k)
+    plain = certify(both.withColumn("w", F.col("eps")), k)
+    made = {"full": full.select("qid", "bound"), "one_width": flat.select("qid", "bound"), "no_scale": plain.select("qid", "bound"), "inner": full.select("qid", (F.col("m") / float(k)).alias("bound")), "outer": full.select("qid", (F.greatest(F.lit(0), k - F.col("z")) / float(k)).alias("bound"))}
+    parts = [df.select(F.lit(name).alias("variant"), "qid", "bound") for name, df in made.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def mean_of_runs(runs: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions import vectors as V
 from driftline.functions.rank import running_total
 
 
@@ -33,103 +38,242 @@ def apply_staged(base: DataFrame, staged: DataFrame) -> DataFrame:
     return base.join(staged.select("src"), "src", "left_anti").unionByName(staged.select("src", "nbrs"))
 
 
-def _kept(points: np.ndarray, dist: np.ndarray, alpha: float, most: int) -> list[int]:
-    """Places kept of candidates sorted by distance: one goes if a kept one is alpha times nearer to it than the node."""
-    kept: list[int] = []
-    for j in range(len(points)):
-        if len(kept) == most:
-            break
-        if not kept or (alpha**2 * ((points[kept] - points[j]) ** 2).sum(1) > dist[j] ** 2).all():
-            kept.append(j)
-    return kept
+def whole_groups(frames: Iterator[pd.DataFrame], key: str, size: int = 4096) -> Iterator[pd.DataFrame]:
+    """Frames of about ``size`` rows that hold all rows of their keys, from rows sorted by ``key``."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) < size:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        last = int(np.searchsorted((rows[key] != rows[key].iloc[-1]).to_numpy()[::-1], True)) if rows[key].iloc[0] != rows[key].iloc[-1] else len(rows)
+        if last < len(rows):
+            yield rows.iloc[: len(rows) - last]
+        held = [rows.iloc[len(rows) - last :]]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
+def selected(vectors: np.ndarray, dist: np.ndarray, radius: np.ndarray, own: np.ndarray, valid: np.ndarray, current: np.ndarray, alpha: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which candidates are kept, and which of the candidates are undecided, for many nodes at once.
+
+    Row n holds a node's candidates by distance: distances to the node ``dist`` known within radius + own, and vectors
+    known within radius. Whether one candidate rules out another is a relation between their intervals, so it is taken
+    for all pairs of all nodes as matrices; then one pass over the places decides for all nodes.
+    """
+    sq = np.einsum("nwd,nwd->nw", vectors, vectors)
+    between = np.round(np.sqrt(np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(vectors, vectors.transpose(0, 2, 1)), 0)), 6)
+    slack, reach = radius[:, :, None] + radius[:, None, :], radius + own[:, None]
+    low, high = np.maximum(dist - reach, 0)[:, None, :], (dist + reach)[:, None, :]
+    rules_out = alpha * (between + slack) <= low
+    may_rule_out = alpha * np.maximum(between - slack, 0) <= high
+    kept, unsure = np.zeros(valid.shape, bool), np.zeros(valid.shape, bool)
+    for place in range(valid.shape[1]):
+        stays = valid[:, place] & (kept.sum(1) < most) & ~(kept & rules_out[:, :, place]).any(1)
+        unsure[:, place] = stays & (kept & may_rule_out[:, :, place]).any(1)
+        kept[:, place] = stays & (~unsure[:, place] | current[:, place])
+    return kept, unsure
+
+
+def choose(pools: DataFrame, alpha: float, most: int, pool_limit: int = 200) -> DataFrame:
+    """(src, dst, pos, verdict) from (src, svec, srad, dst, dvec, drad, current): the nearest ``pool_limit`` candidates
+    of each node that are kept (keep, pending-keep) or undecided and left out (pending-drop).
+
+    Pools are cut by distance before nodes come together, and a task takes many nodes at a time.
+    """
+    near = pools.filter("src <> dst").withColumn("d", V.l2(F.col("svec"), F.col("dvec")))
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst")) - 1).filter(F.col("place") < pool_limit).drop("svec")
+    parts = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(frames, "src"):
+            nodes, node = np.unique(rows.src.to_numpy(), return_inverse=True)
+            place = rows.place.to_numpy()
+            shape = (len(nodes), int(place.max()) + 1)
+            fill = lambda values, kind: _filled(shape, node, place, values, kind)
+            vectors = np.zeros((*shape, len(rows.dvec.iloc[0])))
+            vectors[node, place] = np.stack(rows.dvec.to_numpy())
+            own = np.zeros(len(nodes))
+            own[node] = rows.srad.to_numpy(float)
+            kept, unsure = selected(vectors, fill(rows.d, float), fill(rows.drad, float), own, fill(True, bool), fill(rows.current, bool), alpha, most)
+            k, u = kept[node, place], unsure[node, place]
+            verdict = np.where(u, np.where(k, "pending-keep", "pending-drop"), np.where(k, "keep", ""))
+            made = pd.DataFrame({"src": rows.src, "dst": rows.dst, "pos": (np.cumsum(kept, 1) - 1)[node, place], "verdict": verdict})
+            yield made[verdict != ""]
+
+    dealt = near.repartition(parts, "src").sortWithinPartitions("src", "place")
+    return dealt.mapInPandas(run, "src bigint, dst bigint, pos bigint, verdict string")
+
+
+def _filled(shape: tuple[int, int], node: np.ndarray, place: np.ndarray, values: pd.Series | bool, kind: type) -> np.ndarray:
+    out = np.zeros(shape, kind)
+    out[node, place] = values
+    return out
 
 
 def prune(candidates: DataFrame, alpha: float, most: int) -> DataFrame:
-    """(src, pos, dst) from (src, svec, dst, dvec): each node's bounded pool, pruned by distance and diversity."""
+    """(src, pos, dst) from (src, svec, dst, dvec): each node's pool, pruned by distance and diversity; exact vectors
+    decide every case."""
+    exact = candidates.withColumns({"srad": F.lit(0.0), "drad": F.lit(0.0), "current": F.lit(False)})
+    return choose(exact, alpha, most).filter("verdict = 'keep'").select("src", "pos", "dst")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(frame.dvec.to_numpy()).astype(float)
-        d = np.sqrt(((v - np.asarray(frame.svec.iloc[0], float)) ** 2).sum(1))
-        ids = frame.dst.to_numpy()
-        order = np.lexsort((ids, d))
-        order = order[ids[order] != frame.src.iloc[0]]
-        kept = order[_kept(v[order], d[order], alpha, most)]
-        return pd.DataFrame({"src": frame.src.iloc[0], "pos": np.arange(len(kept)), "dst": ids[kept]})
 
-    return candidates.groupBy("src").applyInPandas(run, "src bigint, pos bigint, dst bigint")
+def with_vectors(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(src, svec, dst, dvec): edges with the vectors (item_id, vec) of both ends; the same edges may meet other vectors
+    later, which is a stale graph."""
+    s = vectors.select(F.col("item_id").alias("src"), F.col("vec").alias("svec"))
+    return edges.select("src", "dst").join(s, "src").join(vectors.select(F.col("item_id").alias("dst"), F.col("vec").alias("dvec")), "dst")
 
 
 def connect(edges: DataFrame, vectors: DataFrame, alpha: float, most: int) -> DataFrame:
-    """(src, pos, dst): edges made mutual; a node with more than ``most`` neighbours is pruned anew."""
-    mutual = edges.select("src", "dst").unionByName(reverse(edges)).distinct()
-    s = vectors.select(F.col("item_id").alias("src"), F.col("vec").alias("svec"))
-    d = vectors.select(F.col("item_id").alias("dst"), F.col("vec").alias("dvec"))
-    return prune(mutual.join(s, "src").join(d, "dst").select("src", "svec", "dst", "dvec"), alpha, most)
+    """(src, pos, dst): edges made mutual; a node with more than ``most`` neighbours is pruned, others keep all."""
+    mutual = with_vectors(edges.select("src", "dst").unionByName(reverse(edges)).distinct(), vectors)
+    sized = mutual.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("src")), "d": V.l2(F.col("svec"), F.col("dvec"))})
+    fits = sized.filter(F.col("n") <= most).withColumn("pos", (F.row_number().over(Window.partitionBy("src").orderBy("d", "dst")) - 1).cast("bigint")).select("src", "pos", "dst")
+    return fits.unionByName(prune(sized.filter(F.col("n") > most).select("src", "svec", "dst", "dvec"), alpha, most))
 
 
 def audit(pools: DataFrame, alpha: float, most: int, pool_limit: int = 200) -> DataFrame:
     """(src, dst, verdict) by intervals, from (src, svec, srad, dst, dvec, drad, current).
 
-    Distances are known within the sum of two radii. A candidate is kept or dropped where the intervals decide; where
-    they don't it is pending, and stays only if it is a neighbour now. Verdicts: keep, pending-keep, pending-drop.
+    A candidate goes where the intervals say that a kept one rules it out, and is kept where they say that none does;
+    where they don't tell it is pending, and stays only if it is a neighbour now.
+    """
+    return choose(pools, alpha, most, pool_limit).select("src", "dst", "verdict")
+
+
+def add_reverse(adjacency: DataFrame, audited: DataFrame, vectors: DataFrame, radii: DataFrame, alpha: float, most: int) -> DataFrame:
+    """(src, dst) after the kept links of audited nodes were added in reverse: the targets' lists, audited anew by
+    intervals where they overflow. adjacency and audited are (src, dst); radii is (item_id, rad)."""
+    back = reverse(audited).join(adjacency.select("src", "dst"), ["src", "dst"], "left_anti")
+    touched = back.select("src").distinct()
+    lists = adjacency.join(touched, "src", "left_semi").select("src", "dst", F.lit(True).alias("current")).unionByName(back.select("src", "dst", F.lit(False).alias("current")))
+    full = lists.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("src")))
+    rad = lambda end, name: radii.select(F.col("item_id").alias(end), F.col("rad").alias(name))
+    pools = with_vectors(full.filter(F.col("n") > most), vectors).join(full.select("src", "dst", "current"), ["src", "dst"]).join(rad("src", "srad"), "src").join(rad("dst", "drad"), "dst")
+    again = audit(pools, alpha, most).filter("verdict <> 'pending-drop'").select("src", "dst")
+    rest = adjacency.join(touched, "src", "left_anti").select("src", "dst")
+    return rest.unionByName(full.filter(F.col("n") <= most).select("src", "dst")).unionByName(again)
+
+
+def link_new(new: DataFrame, adjacency: DataFrame, vectors: DataFrame, probes: DataFrame, alpha: float, most: int) -> DataFrame:
+    """(src, dst) with inserted exact nodes (item_id, vec) linked on the lowest layer: candidates are the items of the
+    regions that ``probes`` (item_id, dst) names for them, chosen by exact distances, then linked back."""
+    own = prune(probes.join(new.select(F.col("item_id"), F.col("vec").alias("svec")), "item_id").join(vectors.select(F.col("item_id").alias("dst"), F.col("vec").alias("dvec")), "dst").select(F.col("item_id").alias("src"), "svec", "dst", "dvec"), alpha, most).select("src", "dst")
+    every = vectors.unionByName(new.select("item_id", "vec"))
+    return add_reverse(adjacency.select("src", "dst").unionByName(own), own, every, every.select("item_id", F.lit(0.0).alias("rad")), alpha, most)
+
+
+def build_layers(items: DataFrame, degree: int, pool: int, alpha: float) -> DataFrame:
+    """(shard, layer, src, pos, dst): a layered graph for each shard of (item_id, shard, vec), built by batches.
+
+    Layer 0 holds all items with up to ``degree`` neighbours, a layer above those drawn to it with up to half as many.
+    On each layer an item's candidates are its ``pool`` nearest; they are chosen by diversity, made mutual, and chosen
+    anew where lists overflow. A shard has to fit in a task, so its number of rows is the caller's to bound.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        v, p = np.stack(frame.dvec.to_numpy()).astype(float), np.asarray(frame.svec.iloc[0], float)
-        rad, own, ids = frame.drad.to_numpy(float), float(frame.srad.iloc[0]), frame.dst.to_numpy()
-        d = np.sqrt(((v - p) ** 2).sum(1))
-        kept: list[int] = []
+        frame = frame.sort_values("item_id")
+        ids, level, v = frame.item_id.to_numpy(), frame.level.to_numpy(), np.stack(frame.vec.to_numpy()).astype(float)
         out = []
-        for j in np.lexsort((ids, d))[:pool_limit]:
-            if len(kept) == most:
-                break
-            low, high = max(0.0, d[j] - own - rad[j]), d[j] + own + rad[j]
-            verdict = "keep"
-            for s in kept:
-                between = np.sqrt(((v[s] - v[j]) ** 2).sum())
-                if alpha * (between + rad[s] + rad[j]) <= low:
-                    verdict = ""
-                    break
-                if not alpha * max(0.0, between - rad[s] - rad[j]) > high:
-                    verdict = "pending-keep" if frame.current.iloc[j] else "pending-drop"
-            if verdict:
-                out.append((frame.src.iloc[0], ids[j], verdict))
-            if verdict in ("keep", "pending-keep"):
-                kept.append(j)
-        return pd.DataFrame(out, columns=["src", "dst", "verdict"])
-
-    return pools.groupBy("src").applyInPandas(run, "src bigint, dst bigint, verdict string")
-
-
-def beam_search(queries: DataFrame, adjacency: DataFrame, vectors: DataFrame, entry: int, width: int, limit: int = 1_000_000) -> DataFrame:
-    """(qid, item_id, d) by best-first search over a graph of at most ``limit`` nodes, shared with every task.
-
-    A larger graph is refused: build one per region and search the regions instead.
+        for layer in range(int(level.max()) + 1):
+            at = np.flatnonzero(level >= layer)
+            lists = _layer(v[at], pool, alpha, max(1, degree if layer == 0 else degree // 2))
+            src = np.repeat(at, [len(x) for x in lists])
+            out.append(pd.DataFrame({"shard": frame.shard.iloc[0], "layer": layer, "src": ids[src], "pos": np.concatenate([np.arange(len(x)) for x in lists]), "dst": ids[at[np.concatenate(lists).astype(int)]]}))
+        return pd.concat(out)
+
+    shard = dict(items.dtypes)["shard"]
+    return items.join(levels(items, degree), "item_id").groupBy("shard").applyInPandas(run, f"shard {shard}, layer int, src bigint, pos bigint, dst bigint")
+
+
+def _layer(v: np.ndarray, pool: int, alpha: float, most: int, block: int = 128) -> list[np.ndarray]:
+    """The neighbours of each point among the points ``v``, nearest first, ties to the earlier point."""
+    n, sq = len(v), (v * v).sum(1)
+
+    def pruned(nodes: np.ndarray, lists: list[np.ndarray]) -> list[np.ndarray]:
+        """The lists (sorted by distance) of the nodes after the choice."""
+        shape = (len(nodes), max(map(len, lists), default=0))
+        ids = np.full(shape, -1)
+        for i, x in enumerate(lists):
+            ids[i, : len(x)] = x
+        dist = np.round(np.sqrt(((v[ids] - v[nodes][:, None, :]) ** 2).sum(-1)), 6)
+        kept, _ = selected(v[ids], dist, np.zeros(shape), np.zeros(len(nodes)), ids >= 0, np.zeros(shape, bool), alpha, most)
+        return [row[k] for row, k in zip(ids, kept, strict=True)]
+
+    def ordered(node: int, x: np.ndarray) -> np.ndarray:
+        return x[np.lexsort((x, np.round(np.sqrt(((v[x] - v[node]) ** 2).sum(1)), 6)))]
+
+    chosen: list[np.ndarray] = []
+    for a in range(0, n, block):
+        nodes = np.arange(a, min(a + block, n))
+        rough = np.maximum(sq[nodes][:, None] + sq[None, :] - 2 * v[nodes] @ v.T, 0)
+        rough[np.arange(len(nodes)), nodes] = np.inf
+        near = np.argpartition(rough, min(pool, n - 1) - 1, axis=1)[:, : min(pool, n - 1)] if n > 1 else np.empty((1, 0), int)
+        chosen += pruned(nodes, [ordered(i, x) for i, x in zip(nodes, near, strict=True)])
+    src = np.repeat(np.arange(n), [len(x) for x in chosen])
+    dst = np.concatenate(chosen).astype(int) if n else np.empty(0, int)
+    pairs = np.unique(np.r_[np.c_[src, dst], np.c_[dst, src]], axis=0)
+    lists = [ordered(i, x) for i, x in enumerate(np.split(pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(1, n))))]
+    over = np.array([i for i, x in enumerate(lists) if len(x) > most], int)
+    for some in np.array_split(over, max(1, -(-len(over) // block))):
+        for i, x in zip(some, pruned(some, [lists[i] for i in some]) if len(some) else [], strict=True):
+            lists[i] = x
+    return lists
+
+
+def search_layers(queries: DataFrame, graph: DataFrame, items: DataFrame, k: int, width: int, part_rows: int = 10_000) -> DataFrame:
+    """(qid, item_id, d, r): the ``k`` best of (qid, qvec) found by best-first search through each shard's layers.
+
+    graph is a table of ``build_layers`` and items (item_id, shard, vec). A shard's search starts at the smallest item
+    of its top layer, goes down greedily, and keeps ``width`` on layer 0. Shards are searched apart in tasks that hold
+    one shard and at most about ``part_rows`` queries; only k rows a query and shard come together.
     """
-    if vectors.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} nodes: search by region")
-    spark = queries.sparkSession
-    nodes = vectors.join(adjacency.withColumnRenamed("src", "item_id"), "item_id").select("item_id", "vec", "nbrs").toPandas()
-    at = {int(i): n for n, i in enumerate(nodes.item_id)}
-    shared = spark.sparkContext.broadcast((np.stack(nodes.vec.to_numpy()).astype(float), [[at[int(x)] for x in nb if int(x) in at] for nb in nodes.nbrs], nodes.item_id.to_numpy(np.int64), at[entry]))
-
-    def run(frames):
-        points, nbrs, ids, start = shared.value
-        for frame in frames:
-            for qid, q in zip(frame.qid, frame.qvec, strict=True):
-                q = np.asarray(q, float)
-                found = {start: float(np.sqrt(((points[start] - q) ** 2).sum()))}
-                best, done = [start], set()
-                while open_nodes := [i for i in best if i not in done]:
-                    now = open_nodes[0]
-                    done.add(now)
-                    new = [i for i in nbrs[now] if i not in found]
-                    if new:
-                        found.update(zip(new, np.sqrt(((points[new] - q) ** 2).sum(1)).tolist(), strict=True))
-                        best = sorted([*best, *new], key=lambda i: (round(found[i], 6), ids[i]))[:width]
-                yield pd.DataFrame({"qid": qid, "item_id": ids[best], "d": [round(found[i], 6) for i in best]})
-
-    return queries.select("qid", "qvec").mapInPandas(run, "qid bigint, item_id bigint, d double")
+    parts = max(1, -(-queries.count() // part_rows))
+    lists = graph.groupBy("shard", "layer", "src").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("nbrs"))
+    nodes = items.select("shard", F.col("item_id").alias("src"), "vec").join(lists.groupBy("shard", "src").agg(F.map_from_entries(F.collect_list(F.struct("layer", "nbrs"))).alias("layers")), ["shard", "src"], "left")
+    copies = nodes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = queries.select("qid", "qvec", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part")).crossJoin(items.select(F.col("shard").alias("where")).distinct())
+
+    def run(questions: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if questions.empty or own.empty:
+            return pd.DataFrame({"qid": [], "item_id": [], "d": []})
+        own = own.sort_values("src", ignore_index=True)
+        ids, v = own.src.to_numpy(), np.stack(own.vec.to_numpy()).astype(float)
+        place = {i: n for n, i in enumerate(ids.tolist())}
+        layers = [{int(layer): [place[x] for x in nbrs] for layer, nbrs in (said or {}).items()} for said in own.layers.where(own.layers.notna(), None)]
+        top = max((layer for said in layers for layer in said), default=0)
+        entry = next((n for n, said in enumerate(layers) if top in said), 0)
+        found = [(qid, *_walk(v, layers, entry, top, np.asarray(q, float), width)) for qid, q in zip(questions.qid, questions.qvec, strict=True)]
+        return pd.DataFrame({"qid": np.repeat([f[0] for f in found], [len(f[1][:k]) for f in found]), "item_id": ids[np.concatenate([f[1][:k] for f in found])], "d": np.concatenate([f[2][:k] for f in found])})
+
+    got = asked.groupBy("where", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(run, "qid bigint, item_id bigint, d double")
+    return got.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "item_id"))).filter(F.col("r") <= k)
+
+
+def _walk(v: np.ndarray, layers: list[dict[int, list[int]]], at: int, top: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the up to ``width`` points found nearest to ``q``, ties to the smaller place."""
+    far = lambda x: np.round(np.sqrt(((v[x] - q) ** 2).sum(-1)), 6)
+    for layer in range(top, 0, -1):
+        while near := layers[at].get(layer, []):
+            d, best = min(zip(far(near).tolist(), near, strict=True))
+            if (d, best) >= (float(far(at)), at):
+                break
+            at = best
+    heap = [(float(far(at)), at)]
+    best, seen = list(heap), {at}
+    while heap:
+        d, node = heapq.heappop(heap)
+        if len(best) == width and (d, node) > best[-1]:
+            break
+        new = [x for x in layers[node].get(0, []) if x not in seen]
+        seen.update(new)
+        for pair in zip(far(new).tolist(), new, strict=True) if new else ():
+            if len(best) < width or pair < best[-1]:
+                bisect.insort(best, pair)
+                del best[width:]
+                heapq.heappush(heap, pair)
+    return np.array([n for _, n in best], int), np.array([d for d, _ in best])
 
 
 def rewritten_share(base: DataFrame, staged: DataFrame) -> DataFrame:

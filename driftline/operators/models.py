@@ -29,34 +29,53 @@ def procrustes(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("region").applyInPandas(run, "region int, w array<double>")
 
 
-def reduced_rank(x: np.ndarray, y: np.ndarray, rank: int, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Down, up and offset of the ridge map from x to y limited to a rank: the full map projected on the leading
-    directions of its (augmented) fit."""
-    xm, ym = x.mean(0), y.mean(0)
-    gram = (x - xm).T @ (x - xm) + ridge * np.eye(x.shape[1])
-    full = np.linalg.solve(gram, (x - xm).T @ (y - ym))
-    _, vectors = np.linalg.eigh(full.T @ gram @ full)
-    up = vectors[:, ::-1][:, :rank]
-    down = full @ up
-    return down, up, ym - (xm @ down) @ up.T
+class Moments:
+    """Sums over pairs of rows from which ridge maps follow: counts, sums, and products of inputs and outputs."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        one = np.ones((len(x), 1))
+        self.joint = np.c_[one, x, y].T @ np.c_[one, x, y]
+        self.width = x.shape[1]
+
+    def less(self, other: Moments) -> Moments:
+        """The sums without those of some of the rows."""
+        rest = object.__new__(Moments)
+        rest.joint, rest.width = self.joint - other.joint, self.width
+        return rest
+
+    def fit(self, rank: int, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Down, up and offset of the ridge map limited to a rank: the full map of the centered sums, projected on the
+        leading directions of its fit."""
+        count, w = self.joint[0, 0], self.width
+        centered = self.joint[1:, 1:] - np.outer(self.joint[1:, 0], self.joint[0, 1:]) / count
+        gram, cross = centered[:w, :w] + ridge * np.eye(w), centered[:w, w:]
+        full = np.linalg.solve(gram, cross)
+        up = np.linalg.eigh(full.T @ gram @ full)[1][:, ::-1][:, :rank]
+        down = full @ up
+        middle = self.joint[0, 1:] / count
+        return down, up, middle[w:] - up @ (middle[:w] @ down)
+
+    def error(self, down: np.ndarray, up: np.ndarray, offset: np.ndarray) -> float:
+        """The sum of squared errors of a map over these rows: a quadratic form of the sums."""
+        side = np.r_[offset[None, :], down @ up.T, -np.eye(len(offset))]
+        return float(np.einsum("ij,ik,kj->", side, self.joint, side))
 
 
 def low_rank(pairs: DataFrame, rank: int, grid: list[float], folds: int) -> DataFrame:
-    """(region, ridge, error, down, up, b): per region the penalty with the least cross-validated error, first on ties."""
+    """(region, ridge, error, down, up, b): per region the penalty with the least cross-validated error, first on ties.
+
+    Each fold is summed once; the sums of the other folds are differences, so no penalty looks at the rows again.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("item_id")
         x, y = (np.stack(frame[c].to_numpy()).astype(float) for c in ("old", "new"))
-        part = np.arange(len(x)) % min(folds, len(x))
-        errors = []
-        for ridge in grid:
-            total = 0.0
-            for f in range(part.max() + 1):
-                down, up, b = reduced_rank(x[part != f], y[part != f], rank, ridge)
-                total += float(((x[part == f] @ down @ up.T + b - y[part == f]) ** 2).sum())
-            errors.append(total)
+        held = [Moments(x[i :: min(folds, len(x))], y[i :: min(folds, len(x))]) for i in range(min(folds, len(x)))]
+        every = Moments(x, y)
+        rest = [every.less(m) for m in held]
+        errors = [sum(out.error(*others.fit(rank, ridge)) for out, others in zip(held, rest, strict=True)) if len(held) > 1 else 0.0 for ridge in grid]
         best = int(np.argmin(errors))
-        down, up, b = reduced_rank(x, y, rank, grid[best])
+        down, up, b = every.fit(rank, grid[best])
         return pd.DataFrame({"region": [frame.region.iloc[0]], "ridge": [grid[best]], "error": [errors[best]], "down": [down.ravel().tolist()], "up": [up.ravel().tolist()], "b": [b.tolist()]})
 
     return pairs.groupBy("region").applyInPandas(run, "region int, ridge double, error double, down array<double>, up array<double>, b array<double>")

@@ -38,7 +38,9 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "qid", ite
                 rough = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
                 some = min(k + 8, len(ii))
                 pick = np.argpartition(rough, some - 1, axis=1)[:, :some]
-                edge = np.take_along_axis(rough, pick, 1).max(1, keepdims=True) + 1e-5
+                edge = np.take_along_axis(rough, pick, 1).max(1, keepdims=True)
+                # distances that round alike differ by 1e-6 at most, so their squares by twice that times the distance
+                edge = edge + 2.1e-6 * np.sqrt(np.maximum(edge, 0)) + 1e-11 + 1e-13 * ((q * q).sum(1).max() + (x * x).sum(1).max())
                 wide = np.flatnonzero((rough <= edge).sum(1) > some)
                 for j in range(len(qi)):
                     at = np.flatnonzero(rough[j] <= edge[j]) if j in wide else pick[j]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.rank import numbered
+from driftline.functions.rank import numbered, running_total
 
 
 def shuffled(key: Column, seed: int) -> Column:
@@ -22,13 +22,35 @@ def stratified_split(items: DataFrame, per_region: int, fit: int, seed: int) ->
 
 
 def zipf_stream(queries: int, draws: DataFrame, exponent: float, seed: int) -> DataFrame:
-    """(seq, rank) from (seq): ranks with probability 1/rank^s, by inverting the cumulative weights."""
+    """(seq, rank) from (seq): ranks with probability 1/rank^s, by inverting the cumulative weights.
+
+    Weights are summed by ranges, and each draw meets the ranks that reach into its part of the unit interval, of
+    which there are as many parts as ranks; neither side is held by one task.
+    """
     spark = draws.sparkSession
     ranks = spark.range(1, queries + 1).select(F.col("id").alias("rank"), (1 / F.pow(F.col("id").cast("double"), F.lit(exponent))).alias("w"))
-    total = F.sum("w").over(Window.partitionBy())
-    edges = ranks.select("rank", F.round(F.sum("w").over(Window.orderBy("rank")) / total, 9).alias("high")).agg(F.sort_array(F.collect_list(F.struct("high", "rank"))).alias("edges"))
-    drawn = draws.select("seq", shuffled(F.col("seq"), seed).alias("u")).join(F.broadcast(edges))
-    return drawn.select("seq", F.filter("edges", lambda e: e["high"] > F.col("u"))[0]["rank"].alias("rank"))
+    summed = running_total(ranks, [F.col("rank")], "w", "before")
+    total = summed.agg(F.sum("w").alias("total"))
+    edges = summed.join(F.broadcast(total)).select("rank", F.round(F.col("before") / F.col("total"), 9).alias("low"), F.round((F.col("before") + F.col("w")) / F.col("total"), 9).alias("high"))
+    part = lambda x: F.floor(x * queries).cast("bigint")
+    spans = edges.withColumn("part", F.explode(F.sequence(part(F.col("low") - 2e-9), part(F.col("high")))))
+    drawn = draws.select("seq", shuffled(F.col("seq"), seed).alias("u")).withColumn("part", part(F.col("u")))
+    return drawn.join(spans, "part").filter("high > u AND low <= u + 2e-9").groupBy("seq").agg(F.min("rank").alias("rank"))
+
+
+def workload(kind: str, truth: DataFrame, regions: DataFrame, heat: DataFrame, queries: DataFrame, size: int, seed: int) -> DataFrame:
+    """(seq, qid): ``size`` requests of a kind over ``queries`` (qid): zipf (skewed), uniform (each in a hashed order,
+    beginning anew at the end), or cold (those whose true neighbours all lie in the coldest regions)."""
+    some = queries.select("qid")
+    if kind == "cold":
+        some = cold_queries(truth.join(regions, "item_id"), heat, heat.count())
+    order = numbered(some, [shuffled(F.col("qid"), seed), F.col("qid")], "rank")
+    seqs = queries.sparkSession.range(size).select(F.col("id").alias("seq"))
+    n = order.count()
+    if not n:
+        return seqs.select("seq", F.lit(None).cast("bigint").alias("qid")).limit(0)
+    drawn = zipf_stream(n, seqs, 1.0, seed) if kind == "zipf" else seqs.withColumn("rank", F.col("seq") % n + 1)
+    return drawn.join(order, "rank").select("seq", "qid")
 
 
 def cold_queries(truth: DataFrame, heat: DataFrame, regions: int) -> DataFrame:

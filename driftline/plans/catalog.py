@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import stats, vectors as V
-from driftline.functions.scratch import fresh_path
+from driftline.functions.scratch import fresh_path, materialize
 from driftline.operators import calibration, evaluation, graph, models, scheduling, search, workload
 from driftline.plans import lifecycle
 from driftline.session import table
@@ -33,9 +34,17 @@ class Base:
         self.items = e.withColumn("new", F.transform("mapped", lambda x, j: x + noise(j))).withColumn("native", F.col("item_id") % 5 == 0)
         self.queries = self.items.filter(F.col("item_id") % QUERY_STEP == 0).select(F.col("item_id").alias("qid"), F.col("new").alias("qvec"))
         self.corpus = self.items
-        self.edges = self.items.select(F.col("item_id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos")).select("src", "pos", ((F.col("src") * 7 + F.col("pos") * 13 + 1) % 400).alias("dst")).filter("src <> dst")
         self.events = table(spark, sf_dir, "events")
 
+    @cached_property
+    def count(self) -> int:
+        return self.items.count()
+
+    @property
+    def edges(self) -> DataFrame:
+        """Six links of each item to others, spread over all items."""
+        return self.items.select(F.col("item_id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos")).select("src", "pos", ((F.col("src") * 7 + F.col("pos") * 13 + 1) % self.count).alias("dst")).filter("src <> dst")
+
     def paired(self, items: DataFrame) -> DataFrame:
         """Items with the query of their hundred, but for the query itself."""
         return items.withColumn("qid", F.col("item_id") - F.col("item_id") % QUERY_STEP).join(self.queries, "qid").filter("qid <> item_id")
@@ -71,7 +80,7 @@ class Base:
     def states(self) -> DataFrame:
         """Items with heat, in-degree, radius, state and flags for scheduling."""
         hits = self.events.select((F.col("user_id") % 500).alias("item_id"), F.col("event_id").alias("seq"))
-        warm = scheduling.heat(hits, 10_000, 10_000.0)
+        warm = scheduling.heat(hits, 10_000.0)
         base = self.items.select("item_id", "region", (F.col("item_id") % 4).cast("int").alias("state"), (F.col("item_id") % 11 == 0).alias("deleted"), (F.col("item_id") % 3 == 0).alias("flipped"))
         return base.join(warm, "item_id", "left").join(scheduling.in_degree(self.edges, self.items), "item_id").join(self.radii.select("region", "eps"), "region").withColumn("heat", F.round(F.coalesce("heat", F.lit(0.0)), 6))
 
@@ -80,7 +89,7 @@ _PARTS = {
     "x": "x AS (SELECT vec_id AS item_id, label AS region, old, mapped, list_transform(range(64), lambda j: mapped[j + 1] + (0.002::DOUBLE + 0.001::DOUBLE * label) * (((vec_id * 7919 + j * 104729) % 1009) / 1009.0::DOUBLE - 0.5::DOUBLE)) AS new, vec_id % 5 = 0 AS native FROM (SELECT vec_id, label, old, list_transform(range(64), lambda j: (CASE WHEN j % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * old[(j + 1) % 64 + 1]) AS mapped FROM (SELECT vec_id, label, embedding::DOUBLE[] AS old FROM embeddings)))",
     "q": "q AS (SELECT item_id AS qid, new AS qvec FROM x WHERE item_id % 100 = 0)",
     "c": "c AS (SELECT * FROM x)",
-    "edges": "edges AS (SELECT item_id AS src, pos, (item_id * 7 + pos * 13 + 1) % 400 AS dst FROM x, range(6) t(pos) WHERE item_id <> (item_id * 7 + pos * 13 + 1) % 400)",
+    "edges": "edges AS (SELECT item_id AS src, pos, (item_id * 7 + pos * 13 + 1) % (SELECT count(*) FROM x) AS dst FROM x, range(6) t(pos) WHERE item_id <> (item_id * 7 + pos * 13 + 1) % (SELECT count(*) FROM x))",
     "pd": "pd AS (SELECT qid, item_id, region, native, round(list_distance(qvec, new), 6) AS d_star, round(list_distance(qvec, mapped), 6) AS d_hat FROM q, c)",
     "ce": "ce AS (SELECT region, round(abs(round(list_distance(qvec, mapped), 6) - round(list_distance(qvec, new), 6)), 6) AS err, round(list_distance(mapped, new), 6) AS apart, round(list_distance(qvec, new), 6) AS d_star FROM c JOIN q ON q.qid = c.item_id - c.item_id % 100 AND q.qid <> c.item_id WHERE c.item_id % 3 <> 0)",
     "radii": "radii AS (SELECT region, coalesce(min(CASE WHEN r = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN err END), 'infinity'::DOUBLE) AS eps, coalesce(min(CASE WHEN g = ceil((1 - 0.05::DOUBLE) * (n + 1)) THEN apart END), 'infinity'::DOUBLE) AS gamma, round(avg(d_star), 12) AS dbar, count(*) AS m FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY err) AS r, row_number() OVER (PARTITION BY region ORDER BY apart) AS g, count(*) OVER (PARTITION BY region) AS n FROM ce) GROUP BY region)",
@@ -88,7 +97,7 @@ _PARTS = {
     "scores": "scores AS (SELECT qid, coalesce(max(CASE WHEN NOT exact THEN CASE WHEN isinf(eps) THEN 0 WHEN eps > 0 THEN abs(d - d_star) / eps WHEN d <> d_star THEN 'infinity'::DOUBLE ELSE 0 END END), 0)::DOUBLE AS score FROM cand GROUP BY qid)",
     "view_lam": "view_lam AS (SELECT coalesce(min(CASE WHEN r = ceil((1 - 0.2::DOUBLE) * (n + 1)) THEN score END), 'infinity'::DOUBLE) AS lam, coalesce(max(n), 0) AS m FROM (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM scores))",
     "log": "log AS (SELECT event_id AS seq, user_id % 50 AS query, ((event_id * 37) % 11) / 10.0::DOUBLE AS recall, CASE WHEN event_id % 7 <> 0 THEN ((event_id * 53) % 11) / 10.0::DOUBLE END AS bound, ((event_id * 41) % 11) / 10.0::DOUBLE AS examined_recall, ((event_id * 43) % 11) / 10.0::DOUBLE AS capture, ((event_id * 59) % 13) / 10.0::DOUBLE AS score, 1.0::DOUBLE AS lam, (event_id * 61) % 3 AS requested, (event_id * 67) % 2 AS resolved, (event_id * 71 + 1) % 5 AS waited, ((event_id * 73) % 997) / 1000.0::DOUBLE AS latency, ((event_id * 79) % 11) / 1000.0::DOUBLE AS cpu FROM events)",
-    "states": "states AS (SELECT x.item_id, x.region, x.item_id % 4 AS state, x.item_id % 11 = 0 AS deleted, x.item_id % 3 = 0 AS flipped, round(coalesce(heat, 0), 6) AS heat, coalesce(deg, 0) AS deg, eps FROM x LEFT JOIN (SELECT user_id % 500 AS item_id, sum(pow(2.0::DOUBLE, -(10000 - event_id) / 10000.0::DOUBLE)) AS heat FROM events GROUP BY 1) h ON h.item_id = x.item_id LEFT JOIN (SELECT dst, count(*) AS deg FROM edges GROUP BY dst) g ON g.dst = x.item_id JOIN radii ON radii.region = x.region)",
+    "states": "states AS (SELECT x.item_id, x.region, x.item_id % 4 AS state, x.item_id % 11 = 0 AS deleted, x.item_id % 3 = 0 AS flipped, round(coalesce(heat, 0), 6) AS heat, coalesce(deg, 0) AS deg, eps FROM x LEFT JOIN (SELECT user_id % 500 AS item_id, sum(pow(2.0::DOUBLE, -((SELECT max(event_id) FROM events) - event_id) / 10000.0::DOUBLE)) AS heat FROM events GROUP BY 1) h ON h.item_id = x.item_id LEFT JOIN (SELECT dst, count(*) AS deg FROM edges GROUP BY dst) g ON g.dst = x.item_id JOIN radii ON radii.region = x.region)",
 }
 
 
@@ -225,7 +234,7 @@ def certify(b):
 
 @query(_certified("SELECT cand.*, CASE WHEN isinf(eps) OR isinf(lam) THEN 'infinity'::DOUBLE ELSE eps * lam END AS w FROM cand, view_lam"))
 def certified_search(b):
-    c = b.candidates
+    c = materialize(b.candidates, "candidates")
     lam = calibration.view_scale(calibration.query_scores(c), ALPHA_Q).select("lam")
     return search.certify(c.join(F.broadcast(lam)).withColumn("w", V.width_of(F.col("eps"), F.col("lam"))), K)
 
@@ -252,8 +261,8 @@ def _truth(b):
 @query(f"""WITH {_TRUTH}, e AS (SELECT qid, item_id FROM (SELECT qid, item_id, row_number() OVER (PARTITION BY qid ORDER BY d_star, item_id) AS t FROM cand) WHERE t <= 10), s AS (SELECT qid, item_id FROM cand WHERE r <= 10)
 SELECT qid, a.n / 10.0::DOUBLE AS recall, b2.n / 10.0::DOUBLE AS examined_recall, c2.n / 10.0::DOUBLE AS capture FROM (SELECT qid, count(s.item_id) AS n FROM truth LEFT JOIN s USING (qid, item_id) GROUP BY qid) a JOIN (SELECT qid, count(s.item_id) AS n FROM e LEFT JOIN s USING (qid, item_id) GROUP BY qid) b2 USING (qid) JOIN (SELECT qid, count(k.item_id) AS n FROM truth LEFT JOIN cand k USING (qid, item_id) GROUP BY qid) c2 USING (qid)""")
 def request_metrics(b):
-    c = b.candidates.withColumn("t", F.row_number().over(Window.partitionBy("qid").orderBy("d_star", "item_id")))
-    found, truth = c.filter(F.col("r") <= K), _truth(b)
+    c = materialize(b.candidates.withColumn("t", F.row_number().over(Window.partitionBy("qid").orderBy("d_star", "item_id"))), "candidates")
+    found, truth = c.filter(F.col("r") <= K), materialize(_truth(b), "truth")
     out = search.recall(found, truth, K).join(search.recall(found, c.filter(F.col("t") <= K).select("qid", "item_id"), K, "examined_recall"), "qid")
     return out.join(search.recall(c, truth, K, "capture"), "qid")
 
@@ -268,10 +277,10 @@ def coverage(b):
 # ---------------------------------------------------------------- scheduling
 
 
-@query("SELECT user_id % 500 AS item_id, round(sum(pow(2.0::DOUBLE, -(10000 - event_id) / 10000.0::DOUBLE)), 6) AS heat FROM events GROUP BY 1")
+@query("SELECT user_id % 500 AS item_id, round(sum(pow(2.0::DOUBLE, -((SELECT max(event_id) FROM events) - event_id) / 10000.0::DOUBLE)), 6) AS heat FROM events GROUP BY 1")
 def heat_decay(b):
     hits = b.events.select((F.col("user_id") % 500).alias("item_id"), F.col("event_id").alias("seq"))
-    return scheduling.heat(hits, 10_000, 10_000.0).withColumn("heat", F.round("heat", 6))
+    return scheduling.heat(hits, 10_000.0).withColumn("heat", F.round("heat", 6))
 
 
 @query("SELECT x.item_id, count(edges.src) AS deg FROM x LEFT JOIN edges ON edges.dst = x.item_id GROUP BY x.item_id")
@@ -343,50 +352,117 @@ def two_hop_pool(b):
     return graph.two_hop_pool(b.edges)
 
 
-@query("WITH o AS (SELECT src, list(DISTINCT dst) AS old FROM edges GROUP BY src), n AS (SELECT src, list(DISTINCT (dst + src % 3) % 400) AS nbrs FROM edges WHERE pos < 5 GROUP BY src) SELECT src, len(list_filter(nbrs, lambda t: NOT list_contains(old, t))) AS added, len(list_filter(old, lambda t: NOT list_contains(nbrs, t))) AS removed, len(list_filter(nbrs, lambda t: NOT list_contains(old, t))) + len(list_filter(old, lambda t: NOT list_contains(nbrs, t))) AS changed FROM n JOIN o USING (src)")
+@query("WITH o AS (SELECT src, list(DISTINCT dst) AS old FROM edges GROUP BY src), n AS (SELECT src, list(DISTINCT (dst + src % 3) % (SELECT count(*) FROM x)) AS nbrs FROM edges WHERE pos < 5 GROUP BY src) SELECT src, len(list_filter(nbrs, lambda t: NOT list_contains(old, t))) AS added, len(list_filter(old, lambda t: NOT list_contains(nbrs, t))) AS removed, len(list_filter(nbrs, lambda t: NOT list_contains(old, t))) + len(list_filter(old, lambda t: NOT list_contains(nbrs, t))) AS changed FROM n JOIN o USING (src)")
 def edge_delta(b):
     base = b.edges.groupBy("src").agg(F.collect_set("dst").alias("nbrs"))
-    staged = b.edges.filter("pos < 5").groupBy("src").agg(F.collect_set((F.col("dst") + F.col("src") % 3) % 400).alias("nbrs"))
+    staged = b.edges.filter("pos < 5").groupBy("src").agg(F.collect_set((F.col("dst") + F.col("src") % 3) % b.count).alias("nbrs"))
     return graph.edge_delta(base, staged)
 
 
-def _pool(b, most=30):
-    q = b.corpus.select(F.col("item_id").alias("qid"), F.col("new").alias("vec"))
-    near = search.knn(q, b.corpus.select("item_id", F.col("new").alias("vec")), most).filter("qid <> item_id").select(F.col("qid").alias("src"), F.col("item_id").alias("dst"))
-    vec = b.corpus.select("item_id", F.col("new").alias("vec"))
-    return near.join(vec.select(F.col("item_id").alias("src"), F.col("vec").alias("svec")), "src").join(vec.select(F.col("item_id").alias("dst"), F.col("vec").alias("dvec")), "dst")
+_POOL = """pool AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges UNION ALL SELECT a.src, z.dst FROM edges a JOIN edges z ON a.dst = z.src) WHERE src <> dst)"""
 
 
-@query()
+def _greedy(source: str, name: str, most: int) -> str:
+    """SQL: the lists (src, kept) that pruning leaves of the pairs (src, dst) of ``source``, one candidate a step."""
+    return f"""{name}_d AS (SELECT p.src, p.dst, t.new AS vec, round(list_distance(s.new, t.new), 6) AS d FROM {source} p JOIN x s ON s.item_id = p.src JOIN x t ON t.item_id = p.dst),
+{name}_k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS k FROM {name}_d),
+{name}_r AS (SELECT DISTINCT src, 0::BIGINT AS k, []::BIGINT[] AS kept, []::DOUBLE[][] AS vs FROM {name}_k
+UNION ALL SELECT src, k, CASE WHEN ok THEN list_append(kept, dst) ELSE kept END, CASE WHEN ok THEN list_append(vs, vec) ELSE vs END FROM (SELECT r.src, c.k, r.kept, r.vs, c.dst, c.vec, len(r.kept) < {most} AND len(list_filter(r.vs, lambda v: 1.2::DOUBLE * round(list_distance(v, c.vec), 6) <= c.d)) = 0 AS ok FROM {name}_r r JOIN {name}_k c ON c.src = r.src AND c.k = r.k + 1)),
+{name} AS (SELECT src, unnest(range(len(kept))) AS pos, unnest(kept) AS dst FROM (SELECT src, arg_max(kept, k) AS kept FROM {name}_r GROUP BY src))"""
+
+
+_CONNECTED = f"""{_POOL}, {_greedy("pool", "pruned", 12)},
+mutual AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM pruned UNION ALL SELECT dst, src FROM pruned)),
+sized AS (SELECT m.src, m.dst, count(*) OVER (PARTITION BY m.src) AS n, row_number() OVER (PARTITION BY m.src ORDER BY round(list_distance(s.new, t.new), 6), m.dst) - 1 AS pos FROM mutual m JOIN x s ON s.item_id = m.src JOIN x t ON t.item_id = m.dst),
+{_greedy("(SELECT src, dst FROM sized WHERE n > 16)", "again", 16)},
+linked AS (SELECT src, pos, dst FROM sized WHERE n <= 16 UNION ALL SELECT src, pos, dst FROM again)"""
+
+
+def _vectors(b):
+    return b.corpus.select("item_id", F.col("new").alias("vec"))
+
+
+def _pool(b):
+    return graph.with_vectors(graph.two_hop_pool(b.edges), _vectors(b))
+
+
+def _connected(b):
+    return graph.connect(materialize(graph.prune(_pool(b), 1.2, 12), "pruned"), _vectors(b), 1.2, 16)
+
+
+@query(f"RECURSIVE WITH {_POOL}, {_greedy('pool', 'pruned', 12)} SELECT src, pos, dst FROM pruned")
 def graph_prune(b):
     return graph.prune(_pool(b), 1.2, 12)
 
 
-@query()
+@query(f"RECURSIVE WITH {_CONNECTED} SELECT src, pos, dst FROM linked")
 def graph_connect(b):
-    return graph.connect(graph.prune(_pool(b), 1.2, 12), b.corpus.select("item_id", F.col("new").alias("vec")), 1.2, 16)
+    return _connected(b)
 
 
-@query()
+@query(f"""RECURSIVE WITH {_POOL}, d AS (SELECT p.src, p.dst, t.new AS vec, round(list_distance(s.new, t.new), 6) AS d, CASE WHEN p.dst % 5 = 0 THEN 0 ELSE 0.02::DOUBLE END AS rad, p.dst % 2 = 0 AS held FROM pool p JOIN x s ON s.item_id = p.src JOIN x t ON t.item_id = p.dst),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS k FROM d) WHERE k <= 200),
+r AS (SELECT DISTINCT src, 0::BIGINT AS k, NULL::BIGINT AS dst, '' AS verdict, []::DOUBLE[][] AS vs, []::DOUBLE[] AS rs FROM k
+UNION ALL SELECT src, k, dst, verdict, CASE WHEN verdict IN ('keep', 'pending-keep') THEN list_append(vs, vec) ELSE vs END, CASE WHEN verdict IN ('keep', 'pending-keep') THEN list_append(rs, rad) ELSE rs END FROM (
+SELECT *, CASE WHEN len(vs) >= 12 OR len(list_filter(range(1, len(vs) + 1), lambda i: 1.2::DOUBLE * (round(list_distance(vs[i], vec), 6) + rs[i] + rad) <= greatest(0, d - rad))) > 0 THEN ''
+WHEN len(list_filter(range(1, len(vs) + 1), lambda i: 1.2::DOUBLE * greatest(0, round(list_distance(vs[i], vec), 6) - rs[i] - rad) <= d + rad)) = 0 THEN 'keep' WHEN held THEN 'pending-keep' ELSE 'pending-drop' END AS verdict
+FROM (SELECT q.src, c.k, c.dst, c.vec, c.d, c.rad, c.held, q.vs, q.rs FROM r q JOIN k c ON c.src = q.src AND c.k = q.k + 1)))
+SELECT src, dst, verdict FROM r WHERE verdict <> ''""")
 def graph_audit(b):
     flags = _pool(b).withColumns({"srad": F.lit(0.0), "drad": F.when(F.col("dst") % 5 == 0, 0.0).otherwise(0.02), "current": F.col("dst") % 2 == 0})
     return graph.audit(flags, 1.2, 12)
 
 
+def _sharded(b):
+    return b.corpus.select("item_id", F.col("region").alias("shard"), F.col("new").alias("vec"))
+
+
+@query()
+def graph_build_layers(b):
+    return graph.build_layers(_sharded(b), 16, 48, 1.2)
+
+
+@query("SELECT qid, item_id, d, r FROM (SELECT qid, item_id, d_star AS d, row_number() OVER (PARTITION BY qid ORDER BY d_star, item_id) AS r FROM pd) WHERE r <= 10")
+def graph_search_layers(b):
+    built = materialize(graph.build_layers(_sharded(b), 16, 48, 1.2), "layers")
+    return graph.search_layers(b.queries, built, _sharded(b), K, 100)
+
+
+@query(f"""RECURSIVE WITH {_CONNECTED}, stale AS (SELECT l.src, l.dst, round(list_distance(s.mapped, t.mapped), 6) AS d FROM linked l JOIN x s ON s.item_id = l.src JOIN x t ON t.item_id = l.dst)
+SELECT src, count(*) AS n, round(max(d), 6) AS reach FROM stale GROUP BY src""")
+def graph_stale(b):
+    met = graph.with_vectors(_connected(b), b.corpus.select("item_id", F.col("mapped").alias("vec")))
+    return met.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(V.l2(F.col("svec"), F.col("dvec"))), 6).alias("reach"))
+
+
+@query()
+def graph_add_reverse(b):
+    audited = graph.audit(_pool(b).filter("src % 3 = 0").withColumns({"srad": F.lit(0.0), "drad": F.lit(0.01), "current": F.col("dst") % 2 == 0}), 1.2, 12).filter("verdict <> 'pending-drop'")
+    return graph.add_reverse(b.edges.select("src", "dst").distinct(), audited.select("src", "dst"), _vectors(b), b.items.select("item_id", F.when(F.col("native"), 0.0).otherwise(0.01).alias("rad")), 1.2, 8)
+
+
 @query()
-def graph_beam_search(b):
-    vec = b.corpus.select("item_id", F.col("new").alias("vec"))
-    adjacency = graph.connect(graph.prune(_pool(b), 1.2, 12), vec, 1.2, 16).groupBy("src").agg(F.collect_list("dst").alias("nbrs"))
-    return graph.beam_search(b.queries, adjacency, vec, 0, 40)
+def graph_link_new(b):
+    new, old = _vectors(b).filter("item_id % 25 = 0"), _vectors(b).filter("item_id % 25 <> 0")
+    region = b.items.select("item_id", "region")
+    probes = new.select("item_id").join(region, "item_id").join(region.filter("item_id % 25 <> 0").withColumnRenamed("item_id", "dst"), "region").select("item_id", "dst")
+    edges = b.edges.filter("src % 25 <> 0 AND dst % 25 <> 0").select("src", "dst").distinct()
+    return graph.link_new(new, edges, old, probes, 1.2, 12)
 
 
 # ---------------------------------------------------------------- logs and evaluation
 
 
-@query("""SELECT count(*) AS requests, round(avg(recall), 6) AS recall, round(avg((requested > 0)::INT), 6) AS resolution_rate, round(avg((resolved > 0 OR waited > 0)::INT), 6) AS wait_rate, round(quantile_cont(latency * 1000, 0.5), 6) AS p50_ms, round(quantile_cont(latency * 1000, 0.99), 6) AS p99_ms, round(1 / avg(CASE WHEN cpu > 0 THEN cpu END), 6) AS qps_per_core,
-round(avg(bound), 6) AS mean_bound, round(avg((examined_recall < bound - 1e-12)::INT) FILTER (bound IS NOT NULL), 6) AS m1, round(avg((recall < bound - 1e-12)::INT) FILTER (bound IS NOT NULL), 6) AS m2, round(avg((bound >= 1)::INT) FILTER (bound IS NOT NULL), 6) AS fully_certified, round(avg(recall) FILTER (bound IS NOT NULL) - avg(bound), 6) AS gap, round(avg((score > lam)::INT) FILTER (bound IS NOT NULL), 6) AS miss, round(avg(capture) FILTER (bound IS NOT NULL), 6) AS capture FROM log""")
+def _auroc(positive: str, score: str, rows: str) -> str:
+    """SQL: the rank-sum AUROC with mid-ranks."""
+    return f"(SELECT round((sum(mid) FILTER (p) - count(*) FILTER (p) * (count(*) FILTER (p) + 1) / 2) / (count(*) FILTER (p) * count(*) FILTER (NOT p)), 6) FROM (SELECT {positive} AS p, rank() OVER (ORDER BY {score}) + (count(*) OVER (PARTITION BY {score}) - 1) / 2.0::DOUBLE AS mid FROM {rows}))"
+
+
+@query(f"""SELECT count(*) AS requests, round(avg(recall), 6) AS recall, round(avg((requested > 0)::INT), 6) AS resolution_rate, round(avg((resolved > 0 OR waited > 0)::INT), 6) AS wait_rate, round(quantile_cont(latency * 1000, 0.5), 6) AS p50_ms, round(quantile_cont(latency * 1000, 0.99), 6) AS p99_ms, round(1 / avg(CASE WHEN cpu > 0 THEN cpu END), 6) AS qps_per_core,
+round(avg(bound), 6) AS mean_bound, round(avg((examined_recall < bound - 1e-12)::INT) FILTER (bound IS NOT NULL), 6) AS m1, round(avg((recall < bound - 1e-12)::INT) FILTER (bound IS NOT NULL), 6) AS m2, round(avg((bound >= 1)::INT) FILTER (bound IS NOT NULL), 6) AS fully_certified, round(avg(recall) FILTER (bound IS NOT NULL) - avg(bound), 6) AS gap, round(avg((score > lam)::INT) FILTER (bound IS NOT NULL), 6) AS miss, round(avg(capture) FILTER (bound IS NOT NULL), 6) AS capture,
+{_auroc("recall < 1 - 1e-12", "-bound", "log WHERE bound IS NOT NULL")} AS auroc_bound, {_auroc("recall < 1 - 1e-12", "-(seq * 83 % 11)", "log")} AS auroc_confidence FROM log""")
 def summarize_requests(b):
-    return evaluation.summarize(b.log)
+    return evaluation.summarize(b.log.withColumn("confidence", (F.col("seq") * 83 % 11).cast("double")))
 
 
 @query("WITH k AS (SELECT toxic = 1 AS p, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE AS mid FROM documents JOIN labels USING (doc_id)) SELECT round((sum(mid) FILTER (p) - count(*) FILTER (p) * (count(*) FILTER (p) + 1) / 2) / (count(*) FILTER (p) * count(*) FILTER (NOT p)), 6) AS auroc FROM k")
@@ -395,11 +471,13 @@ def auroc_bound(b):
     return stats.auroc(rows.select((F.col("toxic") == 1).alias("p"), "n_chars"), "p", "n_chars").withColumn("auroc", F.round("auroc", 6))
 
 
-_CURVE = "curve AS (SELECT k AS step, k * 0.05::DOUBLE AS budget, 0.5::DOUBLE + 0.5::DOUBLE * k / 20 AS recall FROM range(21) t(k))"
+_CURVE = "curve AS (SELECT event_id // 50 AS step, (event_id // 50) / 20.0::DOUBLE AS budget, round(1 - exp(-(event_id // 50 + min(event_id % 7) / 7.0::DOUBLE) / 4.0::DOUBLE), 9) AS recall FROM events GROUP BY event_id // 50)"
 
 
 def _curve(b):
-    return b.spark.range(21).select(F.col("id").alias("step"), (F.col("id") * 0.05).alias("budget"), (F.lit(0.5) + F.lit(0.5) * F.col("id") / 20).alias("recall"))
+    step = F.floor(F.col("event_id") / 50)
+    low = F.min(F.col("event_id") % 7) / 7.0
+    return b.events.groupBy(step.alias("step")).agg(low.alias("low")).select("step", (F.col("step") / 20.0).alias("budget"), F.round(1 - F.exp(-(F.col("step") + F.col("low")) / 4.0), 9).alias("recall"))
 
 
 @query(f"WITH {_CURVE} SELECT round(min_by(hit, step), 6) AS budget FROM (SELECT step, CASE WHEN recall >= 0.93 THEN budget WHEN lead(recall) OVER w >= 0.93 THEN budget + (0.93::DOUBLE - recall) / (lead(recall) OVER w - recall) * (lead(budget) OVER w - budget) END AS hit FROM curve WINDOW w AS (ORDER BY step)) WHERE hit IS NOT NULL")
@@ -493,10 +571,10 @@ def glove_average(b):
     return got.select(F.col("id").alias("doc_id"), *[F.round(F.col("vec")[j], 6).alias(f"v{j}") for j in range(3)])
 
 
-@query("SELECT event_id AS pos, coalesce(d.text, 'images/' || (event_id * 31) % 1500 || '.jpg') AS content FROM events LEFT JOIN documents d ON d.doc_id = (event_id * 31) % 1500")
+@query("SELECT event_id AS pos, coalesce(d.text, 'images/' || (event_id * 31) % (SELECT count(*) * 3 // 2 FROM documents) || '.jpg') AS content FROM events LEFT JOIN documents d ON d.doc_id = (event_id * 31) % (SELECT count(*) * 3 // 2 FROM documents)")
 def corpus_lookup(b):
     docs = table(b.spark, b.dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    ids = b.events.select(F.col("event_id").alias("pos"), ((F.col("event_id") * 31) % 1500).alias("id"))
+    ids = b.events.select(F.col("event_id").alias("pos"), ((F.col("event_id") * 31) % (docs.count() * 3 // 2)).alias("id"))
     own = docs.join(ids.select("id").distinct(), "id", "right").withColumn("image", F.concat(F.col("id").cast("string"), F.lit(".jpg")))
     return corpora.lookup(own, ids, "images").select("pos", "content")
 
@@ -568,10 +646,10 @@ def insert_delete(b):
     return lifecycle.insert(lifecycle.delete(items, b.items.filter("item_id % 50 = 7")), new, 4)
 
 
-@query("WITH o AS (SELECT src, list(DISTINCT dst) AS old FROM edges GROUP BY src), n AS (SELECT src, list(DISTINCT (dst + src % 3) % 400) AS nbrs FROM edges WHERE pos < 5 GROUP BY src) SELECT round(sum(len(list_filter(nbrs, lambda t: NOT list_contains(old, t)))) / sum(len(nbrs)), 6) AS share FROM n JOIN o USING (src)")
+@query("WITH o AS (SELECT src, list(DISTINCT dst) AS old FROM edges GROUP BY src), n AS (SELECT src, list(DISTINCT (dst + src % 3) % (SELECT count(*) FROM x)) AS nbrs FROM edges WHERE pos < 5 GROUP BY src) SELECT round(sum(len(list_filter(nbrs, lambda t: NOT list_contains(old, t)))) / sum(len(nbrs)), 6) AS share FROM n JOIN o USING (src)")
 def rewritten_share(b):
     base = b.edges.groupBy("src").agg(F.collect_set("dst").alias("nbrs"))
-    staged = b.edges.filter("pos < 5").groupBy("src").agg(F.collect_set((F.col("dst") + F.col("src") % 3) % 400).alias("nbrs"))
+    staged = b.edges.filter("pos < 5").groupBy("src").agg(F.collect_set((F.col("dst") + F.col("src") % 3) % b.count).alias("nbrs"))
     return graph.rewritten_share(base, staged)
 
 
@@ -711,10 +789,10 @@ def reembed_cost(b):
     return evaluation.reembed_cost(b.events.select(F.col("value").alias("seconds"), (F.col("event_id") % 5).alias("cnt")), b.items)
 
 
-@query("SELECT src, dst FROM edges WHERE src % 4 <> 1 UNION ALL SELECT src, (dst + 1) % 400 AS dst FROM edges WHERE src % 4 = 1")
+@query("SELECT src, dst FROM edges WHERE src % 4 <> 1 UNION ALL SELECT src, (dst + 1) % (SELECT count(*) FROM x) AS dst FROM edges WHERE src % 4 = 1")
 def apply_staged_edges(b):
     lists = lambda e, dst: e.groupBy("src").agg(F.collect_list(dst).alias("nbrs"))
-    staged = lists(b.edges.filter("src % 4 = 1"), (F.col("dst") + 1) % 400)
+    staged = lists(b.edges.filter("src % 4 = 1"), (F.col("dst") + 1) % b.count)
     return graph.apply_staged(lists(b.edges, F.col("dst")), staged).select("src", F.explode("nbrs").alias("dst"))
 
 
@@ -728,11 +806,11 @@ def native_sizes(b):
     return wal.published_size(_records(b).filter("kind = 'native'").withColumn("record_size", F.lit(24)))
 
 
-@query("SELECT item_id, item_id // 128 AS segment, round(new[1], 6) AS first_part FROM x WHERE item_id // 128 IN (0, 2)")
+@query("SELECT item_id, item_id // 128 AS segment, round(new[1], 6) AS first_part FROM x WHERE item_id // 128 <> 1")
 def segment_scan(b):
     path = fresh_path(b.spark, "segments")
     corpora.write_segments(b.items.select("item_id", F.col("new").alias("vec")), path, 128)
-    return corpora.read_segments(b.spark, path, [0, 2]).select("item_id", F.col("segment").cast("bigint").alias("segment"), F.round(F.col("vec")[0], 6).alias("first_part"))
+    return corpora.read_segments(b.spark, path).filter("segment <> 1").select("item_id", F.col("segment").cast("bigint").alias("segment"), F.round(F.col("vec")[0], 6).alias("first_part"))
 
 
 @query("SELECT qid, item_id, d, r FROM (SELECT qid, item_id, d_star AS d, row_number() OVER (PARTITION BY qid ORDER BY d_star, item_id) AS r FROM pd WHERE item_id % 11 <> 0) WHERE r <= 10")

@@ -106,3 +106,100 @@ def restore(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the last snapshot that has its marker."""
     said = spark.read.schema("seq bigint, tables array<string>").json(f"{root}/seq=*/committed").orderBy(F.desc("seq")).first()
     return {name: spark.read.parquet(f"{root}/seq={said.seq:012d}/{name}") for name in said.tables}
+
+
+def update(items: DataFrame, changed: DataFrame, epoch: int) -> DataFrame:
+    """Items after some were replaced: the old rows are deleted and the new vectors get new ids, seen from the next
+    epoch on. ``changed`` is (item_id, key), key ordering the new ids."""
+    return insert(delete(items, changed), changed.select("key"), epoch)
+
+
+def headroom(items: DataFrame, capacity: int) -> DataFrame:
+    """One row, room: how many items may still be inserted before the next segments are needed."""
+    return items.agg((F.lit(capacity) - F.count(F.lit(1)) % F.lit(capacity)).alias("room"))
+
+
+def switch_generation(overlay: DataFrame) -> DataFrame:
+    """One row, gen: the generation that writes go to after the present one is closed."""
+    return overlay.agg((F.coalesce(F.max("gen"), F.lit(-1)) + 1).alias("gen"))
+
+
+def initial_view(items: DataFrame, bridged: DataFrame) -> DataFrame:
+    """The view that a migration begins with: old vectors (item_id, vec) and their images (item_id, mapped), none
+    native."""
+    return items.join(bridged, "item_id", "left").select("item_id", "vec", F.lit("old").alias("space"), "mapped", F.lit(False).alias("native"))
+
+
+def next_view(view: DataFrame, overlay: DataFrame, inserted: DataFrame, deleted: DataFrame, frozen: int, version: int) -> DataFrame:
+    """The view of the next epoch: writes up to ``frozen`` replace bridged vectors, inserted natives (item_id, vec) are
+    appended, and flags say what is deleted. An inserted id that the view has already is an error."""
+    closed = close_epoch(view, overlay, frozen, version)
+    both = inserted.join(view.select("item_id", F.lit(True).alias("known")), "item_id", "left")
+    fresh = both.filter(F.when(F.col("known"), F.raise_error("an inserted id is in the view already").cast("boolean")).otherwise(True))
+    every = closed.unionByName(fresh.select("item_id", "vec", F.lit("native").alias("space"), F.lit(None).cast(dict(closed.dtypes)["mapped"]).alias("mapped"), F.lit(True).alias("native")))
+    return every.join(deleted.select("item_id", F.lit(True).alias("gone")).distinct(), "item_id", "left").withColumn("deleted", F.coalesce("gone", F.lit(False))).drop("gone")
+
+
+def merge_overlay(view: DataFrame, overlay: DataFrame, merged: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+    """The view with the writes of generations that were frozen but not merged yet, and the mask (gen) of all that are
+    merged then. ``merged`` is (gen)."""
+    rest = overlay.join(merged.select("gen").distinct(), "gen", "left_anti")
+    last = rest.agg(F.coalesce(F.max("gen"), F.lit(-1))).first()[0]
+    return close_epoch(view, rest, int(last), version), merged.select("gen").unionByName(rest.select("gen")).distinct()
+
+
+def close_and_log(view: DataFrame, overlay: DataFrame, adjacency: DataFrame, staged: DataFrame, epoch: int, frozen: int, version: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The steps that close an epoch, as tables: the next view, the adjacency with the staged lists (epoch, src, nbrs) of
+    this epoch, those of later ones that are carried over, and the log's records (kind, epoch) in their order."""
+    rotated = rotate(view)
+    after = close_epoch(rotated, overlay, frozen, version)
+    now = staged.filter(F.col("epoch") <= epoch)
+    lists = adjacency.join(now.select("src"), "src", "left_anti").select("src", "nbrs").unionByName(now.select("src", "nbrs"))
+    kinds = ["rotated", "epoch", "merged", "edges"]
+    records = view.sparkSession.range(len(kinds)).select((F.col("id") + 1).alias("seq"), F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") + 1).cast("int")).alias("kind"), F.lit(epoch).alias("epoch"))
+    return after, lists, staged.filter(F.col("epoch") > epoch), records
+
+
+def redo(log: DataFrame, adjacency: DataFrame, staged: DataFrame) -> DataFrame:
+    """Adjacency (src, nbrs) after a crash: the staged lists (epoch, src, nbrs) of epochs that the log closed are applied
+    again, those of epochs that it didn't close are dropped; the last epoch's list of a node counts."""
+    closed = log.filter("kind = 'epoch'").select("epoch").distinct()
+    last = staged.join(closed, "epoch", "left_semi").groupBy("src").agg(F.max_by("nbrs", "epoch").alias("nbrs"))
+    return adjacency.join(last.select("src"), "src", "left_anti").select("src", "nbrs").unionByName(last)
+
+
+class Crash(RuntimeError):
+    """Raised at a crash point."""
+
+
+CRASH_POINTS = ("publish", "rotate", "stage", "switch", "merge", "edges")
+
+
+def crash_at(point: str | None):
+    """A hook for tests: called with the name of a step, it raises at ``point`` and lets all others pass."""
+    if point is not None and point not in CRASH_POINTS:
+        raise ValueError(f"no crash point {point}")
+
+    def reached(step: str) -> None:
+        if step == point:
+            raise Crash(step)
+
+    return reached
+
+
+def migrate(items: DataFrame, view: DataFrame, truth: DataFrame, per_step: int, steps: int, order: str, reached=crash_at(None)) -> list[tuple[int, DataFrame, DataFrame]]:
+    """The loop of a migration over a bounded number of steps: pick by ``order``, encode (the vectors of ``truth``),
+    publish, close the epoch. Gives (step, items, view) after each; every step is a table's plan on the one before."""
+    from driftline.operators.scheduling import pick
+
+    out = []
+    for step in range(steps):
+        chosen = pick(items, per_step, order).select("item_id")
+        reached("publish")
+        overlay = truth.join(chosen, "item_id", "left_semi").select("item_id", "vec", F.lit(step).alias("gen"), F.lit(0).alias("seq"), F.lit(1).alias("version"))
+        items = land(items, chosen.withColumn("accepted", F.lit(True)))
+        reached("rotate")
+        view = close_epoch(rotate(view), overlay, step, 1)
+        reached("switch")
+        out.append((step, items, view))
+    return out
