@@ -54,7 +54,7 @@ def fit_rotations(pairs: DataFrame, least: int = 2) -> DataFrame:
 
     def own(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) < least:
-            return pd.DataFrame({"region": pd.Series([], dtype="int32"), "w": []})
+            return pd.DataFrame({"region": pd.Series([], dtype="int32"), "w": pd.Series([], dtype=object)})
         return pd.DataFrame({"region": [frame.region.iloc[0]], "w": [[c.tolist() for c in _rotation(frame).T]]})
 
     def products(frames):
