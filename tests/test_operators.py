@@ -97,7 +97,7 @@ def test_heat_equals_the_recursion(spark):
     heat, clock = 0.0, 0
     for s in seqs:
         heat, clock = heat * 2 ** (-(s - clock) / 10_000) + 1, s
-    got = scheduling.heat(spark.createDataFrame([(1, s) for s in seqs], "item_id long, seq long"), 9999, 10_000.0).first().heat
+    got = scheduling.heat(spark.createDataFrame([(1, s) for s in seqs], "item_id long, seq long"), 10_000.0).first().heat
     assert got == pytest.approx(heat, rel=1e-12)
 
 
