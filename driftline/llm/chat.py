@@ -49,7 +49,7 @@ def _has(path: str) -> str:
     if not inner:
         return f"variant_get(v, '$.{head}', 'variant') IS NOT NULL"
     items = f"try_variant_get(v, '$.{head}', 'array<variant>')"
-    return f"coalesce(size({items}) = 0 OR exists({items}, m -> variant_get(m, '$.{inner}', 'variant') IS NOT NULL), false)"
+    return f"variant_get(v, '$.{head}', 'variant') IS NOT NULL AND coalesce(exists({items}, m -> variant_get(m, '$.{inner}', 'variant') IS NOT NULL) OR size({items}) = 0, false)"
 
 
 def fingerprint(paths: list[str]) -> Column:
