@@ -296,9 +296,8 @@ def test_mixed_texts_hold_the_words_taken(docs):
     assert {k for k in got if k is not None} <= set(want)
 
 
-@pytest.mark.parametrize("block", [1024, 5])
-def test_mix_does_not_depend_on_files(docs, monkeypatch, block):
-    monkeypatch.setattr(mixing, "BLOCK", block)
+def test_mix_does_not_depend_on_files(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 5)
     want = Counter(map(tuple, mixing.mix(docs).collect()))
     assert Counter(map(tuple, mixing.mix(docs.orderBy(F.desc("doc_id")).repartition(7)).collect())) == want
     assert Counter(map(tuple, mixing.mixed(docs.repartition(7)).collect())) == Counter(map(tuple, mixing.mixed(docs).collect()))
