@@ -16,9 +16,15 @@ LEDGER = "ts double, category string, seconds double, cnt long, device string"
 
 
 def num(value: Column) -> Column:
-    """A number as JSON text; infinities are strings, as JSON has no such numbers."""
-    said = F.when(value == float("inf"), '"inf"').when(value == float("-inf"), '"-inf"')
-    return F.coalesce(said, F.when(value.isNotNull() & ~F.isnan(value), value.cast("string")), F.lit("null"))
+    """A number as JSON text; infinities are strings, as JSON has no such numbers.
+
+    Sizes from 1e-4 to below 1e16 are written without exponents, where Spark has them from 1e7 on and below 1e-3.
+    """
+    infinite = F.when(value == float("inf"), '"inf"').when(value == float("-inf"), '"-inf"')
+    said, size = value.cast("string"), F.abs(value)
+    plain = F.regexp_replace(said.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    said = F.when(said.contains("E") & (size >= 1e-4) & (size < 1e16), plain).otherwise(said)
+    return F.coalesce(infinite, F.when(value.isNotNull() & ~F.isnan(value), said), F.lit("null"))
 
 
 def unnum(text: Column) -> Column:

@@ -1,16 +1,20 @@
 """Graphs, maps, stored state and steps of a migration against plain restatements."""
 
+import functools
+import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline import cli
 from driftline.functions import scratch, udtf
 from driftline.operators import bridges, evaluation, graph, models, scheduling, search, workload
-from driftline.plans import lifecycle
+from driftline.plans import catalog, further, lifecycle  # noqa: F401  (further registers its queries with the catalog)
 from driftline.sources import store
 
 
@@ -182,6 +186,31 @@ def test_log_survives_torn_and_foreign_lines(spark, tmp_path):
     assert [r.seq for r in store.read_log(spark, path, 4).orderBy("seq").collect()] == [5, 6, 7]
 
 
+def test_numbers_as_json_text(spark):
+    rng = np.random.default_rng(15)
+    values = [0.0, -0.0, 1e7, -1e7, 10000000.5, 59099999.5, 2251799813685247.5, 9999999999999998.0, 1e16, -1.5e16, 1e-3, 9.99e-4, 1e-4, 1.2345678901234567e-4, 9.9e-5, 1e300, 1 / 3]
+    values += [float(x) for x in rng.uniform(-1, 1, 500) * 10.0 ** rng.integers(-6, 18, 500)] + [float(x) + 0.5 for x in rng.integers(10**6, 2**51, 500)]
+    df = spark.createDataFrame([(x,) for x in [*values, math.inf, -math.inf, math.nan, None]], "v double").select("v", store.num(F.col("v")).alias("said"))
+    got = df.select("v", "said", store.unnum(F.col("said")).alias("back")).collect()
+    for r in got[: len(values)]:
+        assert float(r.said) == r.back == r.v
+        assert r.said == json.dumps(r.v) or not 1e-4 <= abs(r.v) < 1e16
+    assert [(r.said, r.back) for r in got[len(values) :]] == [('"inf"', math.inf), ('"-inf"', -math.inf), ("null", None), ("null", None)]
+
+
+def test_codec_query_over_large_ids(spark, tmp_path):
+    src = "/root/testdata/sf0.001"
+    (tmp_path / "embeddings.parquet").symlink_to(f"{src}/embeddings.parquet")
+    events = spark.read.parquet(f"{src}/events.parquet")
+    shifted = [events.withColumn("event_id", F.col("event_id") + by) for by in (0, 9_999_500, 59_000_000, 10**12)]
+    functools.reduce(DataFrame.unionByName, shifted).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.SQL["inf_codec"]).fetchall()
+    got = catalog.QUERIES["inf_codec"](spark, str(tmp_path)).select("id", "said", "value").collect()
+    assert len(want) == 4000 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_scratch_tables_go_with_their_scope(spark, tmp_path):
     import os
 
